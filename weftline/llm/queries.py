@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, simhash
+from weftline.llm import langid, mixing, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_language": langid.op1_language,
     "op2_mixing": mixing.op2_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op8_topk": topk.op8_topk,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op8_topk": topk.ORACLE,
 }
