@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.common import table
+from weftline.llm.decontaminate import uncontaminated
+from weftline.llm.langid import accepted
+from weftline.llm.linededup import without_boilerplate
 from weftline.llm.mixing import mixed_documents
 from weftline.llm.simhash import without_near_duplicates
 from weftline.scratch import materialise
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised stay; texts without a letter and those far from every language go."""
+    return accepted(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources show are cut but for their first occurrence; no document goes."""
+    return without_boilerplate(docs)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return without_near_duplicates(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget go."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; column copy counts from 1."""
     return mixed_documents(docs)
 
 
-STAGES = [("simhash_dedup", simhash_stage), ("mixing", mixing_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash_dedup", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 
 #: No stage before the mix can be said in SQL; tests hold each against brute force.
 ORACLE_SQL = None

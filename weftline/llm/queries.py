@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from weftline.llm import langid, mixing, simhash, topk, toxicity
+from weftline.llm import decontaminate, langid, linededup, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language": langid.op1_language,
     "op2_mixing": mixing.op2_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op7_lines": linededup.op7_lines,
     "op8_topk": topk.op8_topk,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op7_lines": linededup.ORACLE,
     "op8_topk": topk.ORACLE,
 }
