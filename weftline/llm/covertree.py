@@ -6,7 +6,11 @@ import heapq
 
 import numpy as np
 
-LEAF, FANOUT, BASE = 128, 12, 1.4
+LEAF, FANOUT = 512, 32
+
+
+#: Below any score.
+LOWEST = np.iinfo(np.int64).min + 1
 
 
 class Node:
@@ -19,24 +23,20 @@ class Node:
         self.norm = float(np.sqrt((centre * centre).sum()))
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """A tree whose nodes cover their rows: a level takes centres farthest-first until its radius has shrunk by
-    ``BASE`` or ``FANOUT`` centres stand; every row goes to its nearest centre and radii are measured, not assumed.
-    """
+def cover_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 1) -> Node:
+    """A tree whose nodes cover their rows: a level draws up to ``FANOUT`` of its rows as centres, every row goes to
+    its nearest centre, and each child's covering radius is measured over its rows, not assumed."""
+    rng = np.random.default_rng(seed)
+    squares = (x * x).sum(axis=1)
 
     def grow(own: np.ndarray, centre: np.ndarray) -> Node:
-        d = np.sqrt(((x[own] - centre) ** 2).sum(axis=1))
-        radius = float(d.max())
+        radius = float(np.sqrt(((x[own] - centre) ** 2).sum(axis=1).max()))
         if len(own) <= leaf or radius == 0:
             return Node(centre, radius, [], own)
-        nearest, label, picks = d, np.zeros(len(own), dtype=np.int64), [centre]
-        while len(picks) < FANOUT and nearest.max() > radius / BASE:
-            pick = x[own[int(nearest.argmax())]]
-            d = np.sqrt(((x[own] - pick) ** 2).sum(axis=1))
-            closer = d < nearest
-            label[closer], nearest = len(picks), np.minimum(nearest, d)
-            picks.append(pick)
-        kids = [(own[label == k], picks[k]) for k in range(len(picks)) if (label == k).any()]
+        picks = rng.choice(own, min(FANOUT, -(-len(own) // leaf) + 1), replace=False)
+        far = squares[own][:, None] + squares[picks][None, :] - 2 * (x[own] @ x[picks].T)
+        label = far.argmin(axis=1)
+        kids = [(own[label == k], x[picks[k]]) for k in range(len(picks)) if (label == k).any()]
         if len(kids) < 2:
             return Node(centre, radius, [], own)
         return Node(centre, radius, [grow(rows, c) for rows, c in kids], None)
@@ -48,26 +48,31 @@ class Best:
     """The k best (score, smaller id first) of each query, fed block by block."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None) -> None:
-        self.k, self.scores, self.ids = k, [np.empty(0, np.int64)] * n, [np.empty(0, np.int64)] * n
+        self.k = k
+        self.scores = np.full((n, k), LOWEST)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
         self.kth = np.full(n, -np.inf) if floor is None else floor.astype(np.float64).copy()
 
     def feed(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, skip: np.ndarray) -> None:
         """scores: (queries, rows); ``skip`` holds the queries' own ids, which take no part."""
-        q, r = np.nonzero((scores >= self.kth[who][:, None]) & (ids[None, :] != skip[:, None]))
+        scores = np.where(ids[None, :] == skip[:, None], LOWEST, scores)
+        least = np.maximum(self.kth[who], float(LOWEST + 1))
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, r = np.nonzero(scores >= least[:, None])
         if not len(q):
             return
-        cuts = np.flatnonzero(np.diff(q)) + 1
-        for at, rows in zip(q[np.concatenate([[0], cuts])], np.split(r, cuts)):
-            w = who[at]
-            s = np.concatenate([self.scores[w], scores[at, rows]])
-            i = np.concatenate([self.ids[w], ids[rows]])
-            if len(s) > self.k:
-                order = np.lexsort((i, -s))[: self.k]
-                s, i = s[order], i[order]
-                self.kth[w] = max(self.kth[w], s[-1])
-            elif len(s) == self.k:
-                self.kth[w] = max(self.kth[w], s.min())
-            self.scores[w], self.ids[w] = s, i
+        touched = np.unique(q)
+        own = who[touched]
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), np.searchsorted(touched, q)])
+        score = np.concatenate([self.scores[own].ravel(), scores[q, r]])
+        ident = np.concatenate([self.ids[own].ravel(), ids[r]])
+        order = np.lexsort((ident, -score, row))
+        counts = np.bincount(row)
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        take = order[(first[:, None] + np.arange(self.k)[None, :])]
+        self.scores[own], self.ids[own] = score[take], ident[take]
+        self.kth[own] = np.maximum(self.kth[own], np.where(score[take][:, -1] == LOWEST, -np.inf, score[take][:, -1]))
 
 
 def bound(a: Node, b: Node) -> float:

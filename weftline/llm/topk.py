@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.llm.common import table
-from weftline.llm.covertree import Best, cover_tree, dual_search
+from weftline.llm.covertree import LOWEST, Best, cover_tree, dual_search
 from weftline.scratch import materialise
 
 #: Queries a block, candidates sampled for the first floor, and candidates under one data tree.
@@ -93,9 +93,9 @@ def top_inner_products(frame: DataFrame, id_col: str = "vec_id", vector_col: str
                     drain()
             if held:
                 drain()
-            sizes = [len(s) for s in best.scores]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
+            row, col = np.nonzero(best.scores > LOWEST)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(best.ids[row, col]), pa.array(best.scores[row, col])], ["query_id", "vec_id", "score"])
 
         found.append(dealt.mapInArrow(search, shape))
     merged = reduce(DataFrame.unionByName, found)
