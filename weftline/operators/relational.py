@@ -150,11 +150,11 @@ def stable_ids(clusters: DataFrame, old: DataFrame, member: str, cluster: str, o
     sizes = clusters.groupBy(cluster).agg(F.count("*").alias("n"))
     claims = clusters.join(old, member).select(cluster, old_id).distinct().join(sizes, cluster)
     order = F.struct((-F.col("n")).alias("n"), F.col(cluster).alias("c"))
-    left, taken, got = materialise(claims.withColumn("o", order)), None, []
+    left, taken, got = materialise(claims.withColumn("__order", order)), None, []
     while True:
         # a claim is settled once its cluster is the first for the id and the id the first for the cluster
-        first = left.withColumn("a", F.row_number().over(W.partitionBy(old_id).orderBy("o"))).withColumn("b", F.row_number().over(W.partitionBy(cluster).orderBy(old_id)))
-        done = materialise(first.where("a = 1 and b = 1").select(cluster, old_id))
+        first = left.withColumn("__a", F.row_number().over(W.partitionBy(old_id).orderBy("__order"))).withColumn("__b", F.row_number().over(W.partitionBy(cluster).orderBy(old_id)))
+        done = materialise(first.where("__a = 1 and __b = 1").select(cluster, old_id))
         if done.isEmpty():
             break
         got.append(done)
