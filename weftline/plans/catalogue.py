@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import extensions, metrics, relations, text
+from weftline.plans import curation, extensions, metrics, relations, text
 
 FLAGSHIP = "near_dup_knn_ties"
-MODULES = (text, relations, metrics, extensions)
+MODULES = (text, relations, metrics, curation, extensions)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
