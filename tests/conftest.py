@@ -5,6 +5,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -35,5 +36,5 @@ def duck():
 def normal(frame):
     """Rows as sorted text, columns by name, doubles at six digits."""
     cols = sorted(frame.columns)
-    text = lambda v: "" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return cols, sorted(tuple(text(v) for v in row) for row in frame[cols].itertuples(index=False))

@@ -51,12 +51,13 @@ def exactly_one_match(spark, sf_dir: str) -> DataFrame:
     key = lambda c: F.substring(c, -2, 2)
     s = table(spark, sf_dir, "supplier").select("s_suppkey", key("s_name").alias("key"), "s_nationkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", key("c_name").alias("key"), "c_nationkey")
-    return exactly_one(s, c, "key", "s_suppkey", "c_custkey", F.col("s_nationkey") == F.col("c_nationkey"))
+    out = exactly_one(s, c, "key", "s_suppkey", "c_custkey", F.col("s_nationkey") == F.col("c_nationkey"))
+    return out.select("s_suppkey", "status", F.coalesce("match", F.lit(-1)).alias("match"))
 
 
 EXACTLY_ONE = """
 WITH m AS (SELECT s_suppkey, count(DISTINCT c_custkey) AS n, min(c_custkey) AS m FROM supplier JOIN customer ON right(s_name, 2) = right(c_name, 2) AND s_nationkey = c_nationkey GROUP BY 1)
-SELECT s.s_suppkey, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n = 1 THEN m END AS "match" FROM (SELECT DISTINCT s_suppkey FROM supplier) s LEFT JOIN m ON s.s_suppkey = m.s_suppkey
+SELECT s.s_suppkey, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n = 1 THEN m ELSE -1 END AS "match" FROM (SELECT DISTINCT s_suppkey FROM supplier) s LEFT JOIN m ON s.s_suppkey = m.s_suppkey
 """
 
 

@@ -7,6 +7,8 @@ local session, as in tests) a temporary folder of this machine stands in for it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if app not in _local:
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+            folder = tempfile.mkdtemp(prefix="weftline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _local[app] = f"file://{folder}"
             spark.sparkContext.setCheckpointDir(_local[app])
         root = _local[app]
     return f"{root.rstrip('/')}/weftline-{app}"
@@ -42,14 +46,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote and that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_weftline_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of this application's intermediate tables; results that were not written yet go with them."""
+    _delete(spark, scratch_root(spark))
 
 
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
