@@ -24,7 +24,7 @@ from weftline.llm.common import chunks, id_split, table
 UNKNOWN = "und"
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Bound of the training sample: rows a language, and languages.
-ROWS_A_LANGUAGE, LANGUAGES = 600, 256
+ROWS_A_LANGUAGE, LANGUAGES = 300, 256
 EPOCHS, BATCH, RATE = 6, 64, 40.0
 #: Share of calibration texts of known languages that rejection may lose, and the confidence below which a text is
 #: rejected at most (a text of confidence above this is never rejected).
@@ -123,14 +123,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, weight) of the averages."""
-    codes, ends = letters(texts)
-    found = [(np.searchsorted(ends, at, side="right"), b) for at, b in grams(codes, BUCKETS)]
-    key = np.concatenate([r * BUCKETS + b for r, b in found])
-    key, n = np.unique(key, return_counts=True)
-    row, bucket = key // BUCKETS, key % BUCKETS
-    total = np.bincount(row, weights=n, minlength=len(texts))
-    return row, bucket, n / total[row]
+    """(row, bucket, weight) of the averages, in row order; a bounded number of letters at a time."""
+    parts = []
+    for a, b in chunks([len(t or "") for t in texts], 1 << 19):
+        codes, ends = letters(texts[a:b])
+        key = np.concatenate([np.searchsorted(ends, at, side="right") * BUCKETS + g for at, g in grams(codes, BUCKETS)])
+        key, n = np.unique(key, return_counts=True)
+        row = key // BUCKETS
+        total = np.bincount(row, weights=n, minlength=b - a)
+        parts.append(((row + a).astype(np.int32), (key % BUCKETS).astype(np.int32), (n / total[row]).astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _pieces(texts: list[str], rng: np.random.Generator) -> list[str]:
@@ -237,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
         model, texts = shared.value, [t if isinstance(t, str) else None for t in text]
         if model is None or not texts:
             return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)})
-        parts = [model.predict(texts[a:b]) for a, b in chunks([len(t or "") for t in texts], 1 << 20)]
+        parts = [model.predict(texts[a:b]) for a, b in chunks([len(t or "") for t in texts], 1 << 19)]
         best, score, rejected = (np.concatenate(x) for x in zip(*parts))
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         return pd.DataFrame({"lang": names[best], "score": score, "rejected": rejected})
