@@ -75,29 +75,40 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
-def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int]:
-    """(edits, end) of the best occurrence of ``item`` in ``region`` on diagonals low..high; free ends of the region.
+def banded_distances(items: list[np.ndarray], regions: list[np.ndarray], low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best occurrence of each item in its region on diagonals low..high; free region ends.
 
-    Rows of the alignment are computed over the band only; edits above ``limit`` are given as limit + 1.
+    All alignments advance together, a row of item characters at a time, over their bands only; an alignment whose
+    whole row exceeds its limit drops out, and its edits are given as limit + 1.
     """
-    width, n = high - low + 1, len(region)
-    off = np.arange(width)
-    big = limit + 1
-    row = np.where((low + off >= 0) & (low + off <= n), 0, big)
-    for i in range(1, len(item) + 1):
+    n, width = len(items), int((high - low).max()) + 1
+    edits, end = limit + 1, np.zeros(n, dtype=np.int64)
+    m, size = np.array([len(x) for x in items]), np.array([len(x) for x in regions])
+    x, text = np.full((n, m.max()), 0xFFFFFFFE, dtype=np.uint32), np.full((n, size.max() + 1), 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(n):
+        x[i, : m[i]], text[i, : size[i]] = items[i], regions[i]
+    off, who, low, size, big = np.arange(width), np.arange(n), low[:, None], size[:, None], edits[:, None]
+    banded = off <= high[:, None] - low
+    row = np.where(banded & (low + off >= 0) & (low + off <= size), 0, big)
+    for i in range(1, x.shape[1] + 1):
         col = i + low + off
-        ok = (col >= 1) & (col <= n)
-        same = np.zeros(width, dtype=bool)
-        same[ok] = region[col[ok] - 1] == item[i - 1]
-        step = np.where(ok, row + ~same, big)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        step[(col < 0) | (col > n)] = big
-        row = np.minimum.accumulate(step - off) + off
-        row[(col < 0) | (col > n)] = big
-        if row.min() > limit:
-            return big, 0
-    best = int(row.argmin())
-    return min(int(row[best]), big), len(item) + low + best
+        inside = banded & (col >= 0) & (col <= size)
+        same = np.take_along_axis(text, np.clip(col - 1, 0, text.shape[1] - 1), axis=1) == x[:, i - 1 : i]
+        step = np.where(inside & (col >= 1), row + ~same, big)
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+        step[~inside] = np.broadcast_to(big, step.shape)[~inside]
+        row = np.minimum.accumulate(step - off, axis=1) + off
+        row[~inside] = np.broadcast_to(big, row.shape)[~inside]
+        least = row.min(axis=1)
+        done = np.flatnonzero((m[who] == i) & (least < big[:, 0]))
+        at = row[done].argmin(axis=1)
+        edits[who[done]], end[who[done]] = least[done], m[who[done]] + low[done, 0] + at
+        alive = (m[who] > i) & (least < big[:, 0])
+        if not alive.all():
+            who, row, low, size, big, x, text, banded = (v[alive] for v in (who, row, low, size, big, x, text, banded))
+            if not len(who):
+                break
+    return edits, end
 
 
 @dataclass
@@ -161,12 +172,7 @@ class Matcher:
             wide = np.int64(2 * len(codes) + 8)
             key, count = np.unique(np.concatenate([pair * wide + band, pair * wide + band - 1]), return_counts=True)
             key = key[count >= self.bound[(key // wide) % len(self.items)]]
-            for code in key.tolist():
-                pair_of, j = divmod(code, int(wide))
-                r, i = divmod(pair_of, len(self.items))
-                k = int(self.edits[i])
-                low = j * (k + 1) - len(codes) - 2
-                self._verify(codes, int(starts[r]), int(ends[r]) - 1, r, i, low, low + 2 * (k + 1) - 1, note)
+            self._verify(codes, starts, ends, key, int(wide), note)
         for i, x in self.short:
             for r in range(len(texts)):
                 body = codes[starts[r] : ends[r] - 1]
@@ -177,22 +183,40 @@ class Matcher:
                         note(r, i, 0, int(starts[r]) + edge[0], int(starts[r]) + edge[0] + len(x))
         return [(r, i, *v) for (r, i), v in sorted(found.items())]
 
-    def _verify(self, codes, start: int, end: int, row: int, item: int, low: int, high: int, note) -> None:  # noqa: ANN001
-        x, k = self.items[item], int(self.edits[item])
-        a, b = max(start, low - k), min(end, high + k + len(x))
-        if b <= a:
-            return
-        region = codes[a:b]
-        where = region.astype("<u4").tobytes().find(x.astype("<u4").tobytes())
-        while where >= 0 and where % 4:
-            where = region.astype("<u4").tobytes().find(x.astype("<u4").tobytes(), where + 1)
-        if where >= 0:
-            note(row, item, 0, a + where // 4, a + where // 4 + len(x))
-        elif k:
-            edits, stop = banded_distance(x, region, low - k - a, high + k - a, k)
-            if edits <= k:
-                stop = max(1, min(stop, len(region)))
-                note(row, item, edits, a + max(0, stop - len(x)), a + stop)
+    def _verify(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, wide: int, note) -> None:  # noqa: ANN001
+        """Align the items of all retained bands: literal occurrences first, the others together."""
+        left: list[tuple[int, int, int, int, int, int]] = []
+        for code in key.tolist():
+            pair, j = divmod(code, wide)
+            r, i = divmod(pair, len(self.items))
+            x, k = self.items[i], int(self.edits[i])
+            low = j * (k + 1) - len(codes) - 2
+            high = low + 2 * (k + 1) - 1
+            a, b = max(int(starts[r]), low - k), min(int(ends[r]) - 1, high + k + len(x))
+            if b <= a:
+                continue
+            where = self._literal(x, codes[a:b])
+            if where >= 0:
+                note(r, i, 0, a + where, a + where + len(x))
+            elif k:
+                left.append((r, i, a, b, low - k - a, high + k - a))
+        for s in range(0, len(left), 256):
+            part = left[s : s + 256]
+            _, item, a, b, low, high = (np.array(v) for v in zip(*part))
+            edits, stop = banded_distances([self.items[i] for i in item], [codes[c:d] for c, d in zip(a, b)], low, high, self.edits[item])
+            for (r, i, c, d, _, _), e, z in zip(part, edits.tolist(), stop.tolist()):
+                if e <= self.edits[i]:
+                    z = max(1, min(z, d - c))
+                    note(r, i, e, c + max(0, z - len(self.items[i])), c + z)
+
+    @staticmethod
+    def _literal(item: np.ndarray, region: np.ndarray) -> int:
+        """Where ``item`` stands in ``region`` unchanged, else -1."""
+        hay, needle, at = region.astype("<u4").tobytes(), item.astype("<u4").tobytes(), -1
+        while (at := hay.find(needle, at + 1)) >= 0:
+            if at % 4 == 0:
+                return at // 4
+        return -1
 
 
 def matchers(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list:
@@ -240,7 +264,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
             texts = [t if isinstance(t, str) else None for t in text]
             out: list[list] = [[] for _ in texts]
-            for a, b in chunks([len(t or "") for t in texts], 1 << 20):
+            for a, b in chunks([len(t or "") for t in texts], 1 << 19):
                 for r, i, edits, s, e in shared.value.find(texts[a:b]):
                     out[a + r].append({"item": i, "edits": edits, "start": s, "end": e})
             return pd.Series(out)
@@ -261,7 +285,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
             texts = [t if isinstance(t, str) else None for t in text]
             out = np.ones(len(texts), dtype=bool)
-            for a, b in chunks([len(t or "") for t in texts], 1 << 20):
+            for a, b in chunks([len(t or "") for t in texts], 1 << 19):
                 out[[a + r for r, *_ in shared.value.find(texts[a:b])]] = False
             return pd.Series(out)
 
