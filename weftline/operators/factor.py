@@ -281,14 +281,16 @@ def mean_interval(values: list[float], level: float = 0.95) -> tuple[float, floa
 
 
 def pareto_front(points: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Rows no other row dominates (smaller is better), with ``knee``: distance to the ideal after min-max scaling."""
+    """Rows no other row dominates (smaller is better), with ``knee``: distance to the ideal after min-max scaling.
+
+    ``points`` is an archive of fits, a few thousand rows at most: dominance has no equality to join on."""
     other = points.select(*[F.col(o).alias(f"__{o}") for o in objectives])
     no_worse = [F.col(f"__{o}") <= F.col(o) for o in objectives]
     better = [F.col(f"__{o}") < F.col(o) for o in objectives]
     every, some = no_worse[0], better[0]
     for a, b in zip(no_worse[1:], better[1:]):
         every, some = every & a, some | b
-    front = points.join(F.broadcast(other), every & some, "left_anti")
+    front = points.join(other, every & some, "left_anti")
     ends = points.agg(*[F.min(o).alias(f"__lo_{o}") for o in objectives], *[F.max(o).alias(f"__hi_{o}") for o in objectives])
     scaled = [F.when(F.col(f"__hi_{o}") > F.col(f"__lo_{o}"), (F.col(o) - F.col(f"__lo_{o}")) / (F.col(f"__hi_{o}") - F.col(f"__lo_{o}"))).otherwise(0.0) for o in objectives]
     knee = F.sqrt(sum((s * s for s in scaled[1:]), scaled[0] * scaled[0]))

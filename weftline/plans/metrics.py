@@ -106,7 +106,7 @@ CENTROIDS = "c AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d,
 def label_distances(spark, sf_dir: str) -> DataFrame:
     """Cosine and Jensen-Shannon distance of the labels' mean vectors."""
     c = centroids(spark, sf_dir).withColumn("p", shares(F.col("c")))
-    a, b = c.alias("a"), F.broadcast(c).alias("b")
+    a, b = c.alias("a"), c.alias("b")
     return a.join(b, F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("i"), F.col("b.label").alias("j"), r6(cosine(F.col("a.c"), F.col("b.c"))).alias("cosine"), r6(js_distance(F.col("a.p"), F.col("b.p"))).alias("js"))
 
 
