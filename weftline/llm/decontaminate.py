@@ -264,7 +264,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
             texts = [t if isinstance(t, str) else None for t in text]
             out: list[list] = [[] for _ in texts]
-            for a, b in chunks([len(t or "") for t in texts], 1 << 19):
+            for a, b in chunks([len(t or "") for t in texts], 1 << 18):
                 for r, i, edits, s, e in shared.value.find(texts[a:b]):
                     out[a + r].append({"item": i, "edits": edits, "start": s, "end": e})
             return pd.Series(out)
@@ -285,7 +285,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
             texts = [t if isinstance(t, str) else None for t in text]
             out = np.ones(len(texts), dtype=bool)
-            for a, b in chunks([len(t or "") for t in texts], 1 << 19):
+            for a, b in chunks([len(t or "") for t in texts], 1 << 18):
                 out[[a + r for r, *_ in shared.value.find(texts[a:b])]] = False
             return pd.Series(out)
 

@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
         model, texts = shared.value, [t if isinstance(t, str) else None for t in text]
         if model is None or not texts:
             return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)})
-        parts = [model.predict(texts[a:b]) for a, b in chunks([len(t or "") for t in texts], 1 << 19)]
+        parts = [model.predict(texts[a:b]) for a, b in chunks([len(t or "") for t in texts], 1 << 18)]
         best, score, rejected = (np.concatenate(x) for x in zip(*parts))
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         return pd.DataFrame({"lang": names[best], "score": score, "rejected": rejected})
