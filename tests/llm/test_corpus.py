@@ -214,6 +214,33 @@ def test_near_duplicate_stage(spark):
     assert out.columns == repeated.columns and Counter(r.doc_id for r in out.collect())[0] == 1
 
 
+def jaccard(a, b, size=5):
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_duplicate_stage_at_the_threshold(spark, monkeypatch):
+    rng, made = random.Random(12), itertools.count()
+    new = lambda n: [f"n{next(made)}" for _ in range(n)]
+    texts = []
+    for own in range(14, 25):  # 160 shared shingles and own ones: similarity 0.77 to 0.85
+        base = new(164)
+        texts += [base + new(own), base + new(own)]
+    for n in [8, 9, 10, 11, 12] * 6:  # short texts and one or two words more
+        base = new(n)
+        texts += [base, base + new(1), base[1:], base + new(2)]
+    loop = new(7)
+    texts += [loop * 40, loop * 50, loop * 40 + new(1), loop * 40 + new(3), loop * 40 + new(60)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    want = components(range(len(rows)), lambda a, b: jaccard(rows[a][1], rows[b][1]) >= 0.8)
+    assert 20 < len(set(want.values())) < len(rows)
+    for block in (simhash.BLOCK, 2):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = simhash.near_duplicate_ids(docs(spark, rows)).collect()
+        assert {r.id: r.component for r in got} == want
+
+
 # 5 HTML
 
 PAGE = "<html><head><title>T</title><script>var x='</p>';</script></head><body><nav><ul>{menu}</ul></nav><div class='ad'>buy {ad}</div><article><h1>{title}</h1>{body}</article><div id=comments><p>nice</p></div><footer>&copy; us</footer></body></html>"

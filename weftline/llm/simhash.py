@@ -5,6 +5,9 @@ merged first, so a group of exact copies costs one row.  The distinct fingerprin
 of a vantage-point tree grown on a small sample; each also visits the shards that its search ball overlaps.  A shard
 is searched exactly by a tree of its own and returns one edge a node (to the root of its local group), never all
 pairs.  Components of those edges are then found by star contraction.
+
+The pipeline's stage takes such components only as candidates: with ``confirm`` their members' sets of shingles are
+compared, and a link holds if the exact Jaccard similarity is reached.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import chunks, raw, table, words
 from weftline.llm.vptree import Forest, build, link, route
 from weftline.operators.graph import connected_components
-from weftline.scratch import attach, discard, materialise, without
+from weftline.scratch import attach, discard, materialise, small_enough, without
 
 SEED = 42
 #: Distinct fingerprints meant for a shard, and sampled for each shard to grow the upper tree.
@@ -51,24 +54,29 @@ def _counts(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[bytes | None], size: int, n_words: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of 64 * ``n_words`` bits and shingle counts; texts without a word get zero and count 0."""
-    digest = xxhash.xxh64_intdigest
+def shingles(text: bytes | None, size: int) -> list[int]:
+    """Hashes of the runs of ``size`` words, in order; a shorter text is one shingle, one without a word none."""
+    digest, w = xxhash.xxh64_intdigest, words(text)
+    if len(w) < size:
+        return [digest(b" ".join(w), SEED)] if w else []
+    joined, at = b" ".join(w), 0
+    starts = []
+    for x in w:
+        starts.append(at)
+        at += len(x) + 1
+    stops = [s - 1 for s in starts[size:]] + [at - 1]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
+
+
+def fingerprints(texts: list[bytes | None], size: int, n_words: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of 64 * ``n_words`` bits and shingle counts; texts without a word get zero and count 0.
+
+    With ``distinct`` a shingle that a text repeats has one vote and counts once."""
     hashes: list[int] = []
     ends = []
     for text in texts:
-        w = words(text)
-        if w:
-            if len(w) < size:
-                hashes.append(digest(b" ".join(w), SEED))
-            else:
-                joined, at = b" ".join(w), 0
-                starts = []
-                for x in w:
-                    starts.append(at)
-                    at += len(x) + 1
-                stops = [s - 1 for s in starts[size:]] + [at - 1]
-                hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
+        own = shingles(text, size)
+        hashes += set(own) if distinct else own
         ends.append(len(hashes))
     ends = np.array(ends, dtype=np.int64)
     n = np.diff(ends, prepend=0)
@@ -87,7 +95,7 @@ def fingerprints(texts: list[bytes | None], size: int, n_words: int = 1) -> tupl
     return out, n
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int, n_words: int) -> DataFrame:
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int, n_words: int, distinct: bool = False) -> DataFrame:
     """(id, fp, n): fp as 8 * n_words bytes, first the 64-bit fingerprint itself, most significant byte first."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -95,7 +103,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int, n_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw(batch.column(1))
-            parts = [fingerprints(texts[a:b], size, n_words) for a, b in chunks([len(t or b"") for t in texts])]
+            parts = [fingerprints(texts[a:b], size, n_words, distinct) for a, b in chunks([len(t or b"") for t in texts])]
             if parts:
                 fp = np.concatenate([p for p, _ in parts]).astype(">u8").tobytes()
                 width = 8 * n_words
@@ -154,39 +162,144 @@ def fingerprint_edges(groups: DataFrame, n_words: int, prefix_radius: int, radiu
     return dealt.groupBy("shard").applyInArrow(search, f"src {kind}, dst {kind}")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, n_words: int = 1, prefix_radius: int = 2, radius: int = 2, ratio: float | None = None) -> DataFrame:
+#: Candidates that one task compares: larger groups are cut in blocks, and every two blocks are compared.
+BLOCK = 4_096
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, n_words: int) -> DataFrame:
+    """(id, fp, shingles): a text's distinct shingle hashes in order, 8 bytes each."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw(batch.column(1))
+            for a, b in chunks([len(t or b"") for t in texts]):
+                fp = fingerprints(texts[a:b], size, n_words, True)[0].astype(">u8")
+                sets = [np.unique(np.array(shingles(t, size), dtype=np.uint64)).tobytes() for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "shingles"])
+
+    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fp binary, shingles binary")
+
+
+def confirm(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs whose fingerprints are in reach and whose exact Jaccard similarity is ``similarity``
+    or more; pairs that earlier edges join are not compared."""
+    size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        least, most = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+        near = (label[i + 1 :] != label[i]) & (least >= similarity * most - 1e-9)
+        near[near] = np.bitwise_count(fps[i + 1 :][near] ^ fps[i]).sum(axis=1, dtype=np.int32) <= radius
+        for j in (i + 1 + np.nonzero(near)[0]).tolist():
+            if label[i] == label[j]:
+                continue
+            shared = size[i] + size[j] - len(np.unique(np.concatenate([sets[i], sets[j]])))
+            if shared >= similarity * (size[i] + size[j] - shared) - 1e-9:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def confirmed_edges(docs: DataFrame, groups: DataFrame, candidates: DataFrame, id_col: str, text_col: str, size: int, n_words: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) of exact similarity within the components (node, component) of ``candidates``.
+
+    Only texts of a component are read again.  A component up to ``BLOCK`` is compared in one task (small ones share
+    tasks); of a larger one each pair of blocks is a task, so its rows travel once for every block.
+    """
+    kind = dict(groups.dtypes)["rep"]
+    blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    members = attach(candidates, materialise(blocks), "component", 48)
+    members = materialise(groups.where("rep is not null").select("rep", "fp").join(members.withColumnRenamed("node", "rep"), "rep"))
+    total, reps = members.count(), members.select(F.col("rep").alias(id_col)).distinct()
+    texts = docs.join(F.broadcast(reps) if small_enough(reps, 32) else reps.hint("merge"), id_col, "left_semi")
+    sets = shingle_sets(texts, id_col, text_col, size, n_words)
+    if not small_enough(members, 64 + 8 * n_words):
+        sets = materialise(sets)
+    # an id that repeats with another text has another fingerprint
+    sets = attach(sets, members, "fp", 64 + 8 * n_words).where("id = rep")
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    small = F.pmod(F.xxhash64("component"), F.lit(max(1, total // BLOCK * 4))).cast("string")
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    sets = sets.withColumn("own", own).withColumn("other", other)
+    pair = F.concat_ws("/", F.col("component").cast("string"), F.least("own", "other"), F.greatest("own", "other"))
+    dealt = sets.select("rep", "fp", "shingles", "component", F.when(F.col("k") > 1, pair).otherwise(small).alias("shard"))
+
+    def search(part: pa.Table) -> pa.Table:
+        fps = as_words(part.column("fp").combine_chunks(), n_words)
+        codes = part.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        held, src, dst = part.column("shingles"), [], []
+        # of repeated rows one is enough
+        _, once = np.unique(np.column_stack([codes.astype(np.uint64), fps]), axis=0, return_index=True)
+        once = once[np.argsort(codes[once], kind="stable")]
+        for who in np.split(once, np.nonzero(np.diff(codes[once]))[0] + 1):
+            sets_of = [np.frombuffer(x, dtype=np.uint64) for x in held.take(pa.array(who)).to_pylist()]
+            for i, j in confirm(fps[who], sets_of, radius, similarity):
+                src.append(who[i])
+                dst.append(who[j])
+        reps = part.column("rep")
+        return pa.table({"src": reps.take(pa.array(src, pa.int64())), "dst": reps.take(pa.array(dst, pa.int64()))})
+
+    return dealt.groupBy("shard").applyInArrow(search, f"src {kind}, dst {kind}")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, n_words: int = 1, prefix_radius: int = 2, radius: int = 2, ratio: float | None = None, confirmed: bool = False) -> DataFrame:
     """(id, fingerprint bytes, component): component is the smallest id reachable over links, itself included.
 
     Null and empty texts have the zero fingerprint and link to each other like any other.  Repeated rows are equal
     fingerprints.  Rows with a null id keep their fingerprint and take their group's component (null if the group
     has no id at all).  Only id and text are read, so other columns cannot clash.  An empty table gives no rows.
+
+    With ``confirmed`` fingerprints are those of the sets of shingles and only find candidates: a link is a pair whose
+    sets have a Jaccard similarity of ``ratio`` or more.
     """
-    fps = materialise(fingerprint_table(docs, id_col, text_col, size, n_words))
+    fps = materialise(fingerprint_table(docs, id_col, text_col, size, n_words, confirmed))
     groups = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
     edges = materialise(fingerprint_edges(groups.where("rep is not null"), n_words, prefix_radius, radius, ratio))
     found = materialise(connected_components(edges))
     discard(edges)
+    if confirmed:
+        exact = materialise(confirmed_edges(docs, groups, found, id_col, text_col, size, n_words, radius, ratio))
+        discard(found)
+        found = materialise(connected_components(exact))
+        discard(exact)
     labels = materialise(attach(groups.select("fp", "rep").withColumn("node", F.col("rep")), found, "node", 48).select("fp", F.coalesce("component", "rep").alias("component")))
     discard(groups, found)
     return attach(fps, labels, "fp", 48 + 8 * n_words).select("id", "fp", "n", "component")
 
 
-#: The pipeline's rule: five-word shingles and a similarity of 0.8.  A pair of that Jaccard similarity has cosine
-#: 2J/(1+J) and differs in acos(cosine)/pi of the bits; one standard deviation is added to the mean of the whole
-#: fingerprint, and three to that of its first 64 bits.
+#: The pipeline's rule: five-word shingles and a Jaccard similarity of 0.8.
 STAGE_WORDS, STAGE_SIZE, STAGE_SIMILARITY = 16, 5, 0.8
+#: Standard deviations added to the bits in which a pair of that similarity differs, and the largest union of shingles
+#: for which those bits are counted rather than taken from the limit of large sets.
+SPREAD, COUNTED = 5, 24
+
+
+def differing(shared: int, a: int, b: int) -> float:
+    """The chance that a bit differs between sets of ``shared`` common shingles and ``a`` and ``b`` of their own."""
+    votes = lambda n: {2 * k - n: math.comb(n, k) / 2**n for k in range(n + 1)}
+    one, two, out = votes(a), votes(b), 0.0
+    for v, p in votes(shared).items():
+        x, y = (sum(q for u, q in own.items() if v + u > 0) for own in (one, two))
+        out += p * (x * (1 - y) + y * (1 - x))
+    return out
 
 
 def stage_radii(similarity: float = STAGE_SIMILARITY, n_words: int = STAGE_WORDS) -> tuple[int, int]:
+    """Radii of the first 64 bits and of all bits that a pair of ``similarity`` or more hardly ever exceeds.
+
+    In large sets it differs in acos(2J / (1 + J)) / pi of the bits; small sets have ties, and 4 against 5 shingles
+    differ most (0.1875 of the bits at 0.8, against 0.1515)."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    reach = lambda bits, z: math.floor(bits * p + z * math.sqrt(bits * p * (1 - p)))
-    return reach(64, 3), reach(64 * n_words, 1)
+    for union in range(1, COUNTED + 1):
+        for shared in range(math.ceil(similarity * union - 1e-9), union):
+            p = max(p, *(differing(shared, a, union - shared - a) for a in range((union - shared) // 2 + 1)), 0.0)
+    reach = lambda bits: math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
+    return reach(64), reach(64 * n_words)
 
 
 def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """(id, component) under the pipeline's rule: five-word shingles, similarity of ``similarity`` or more."""
     prefix, radius = stage_radii(similarity)
-    return simhash_groups(docs, id_col, text_col, STAGE_SIZE, STAGE_WORDS, prefix, radius, similarity).select("id", "component")
+    return simhash_groups(docs, id_col, text_col, STAGE_SIZE, STAGE_WORDS, prefix, radius, similarity, True).select("id", "component")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
