@@ -283,6 +283,19 @@ def test_licences_and_inheritance(spark):
     assert licences.scan_licences(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_full_texts_and_long_lines(spark):
+    rest = "\n".join(f"further terms of the text {i} that nobody reads" for i in range(300))
+    mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\n' + rest
+    gpl = "\n".join(["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation; either version {} of the License, or", rest])
+    inside = "word " * 500 + "Licensed under CC BY 4.0. " + "word " * 500
+    rows = [("m/LICENSE", mit), ("m/a/x.c", "none"), ("g/COPYING.txt", gpl.format(2)), ("g/x.c", "none"), ("h/COPYING", gpl.format(3)), ("n/notes.txt", mit), ("n/x.c", "none"), ("l/x.txt", inside), ("e/LICENSE", "no terms"), ("e/x.c", "none")]
+    got = {r.path: (r.licence, r.licence_file, r.inherited) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == ("MIT", True, False) and got["m/a/x.c"] == ("MIT", False, True)
+    assert got["g/COPYING.txt"] == ("GPL-2.0", True, False) and got["g/x.c"] == ("GPL-2.0", False, True) and got["h/COPYING"][0] == "GPL-3.0"
+    assert got["n/notes.txt"] == ("MIT", False, False) and got["n/x.c"][0] is None
+    assert got["l/x.txt"] == ("CC-BY-4.0", False, False) and got["e/LICENSE"][:2] == (None, False) and got["e/x.c"][0] is None
+
+
 # 7 lines
 
 

@@ -29,6 +29,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -44,8 +45,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LEAST = 0.75
-#: A text whose licence stretch makes up at least this share of its words is a licence file.
+#: A text whose licence stretch makes up at least this share of its words is a licence file, and so is any text with a
+#: stretch under a name that licence files have.
 FILE_SHARE = 0.5
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright|notice)([._-][^/]*)?$"
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 
@@ -89,11 +92,27 @@ class Templates:
     def weight(self, words: list[str]) -> dict[str, float]:
         return {t: c * self.idf.get(t, self.top) for t, c in Counter(words).items()}
 
+    def window(self, words: list[str]) -> tuple[str | None, float, int]:
+        """(licence, cosine, words): the best run of as many words as a template has that holds an anchor."""
+        marks = [i for i, w in enumerate(words) if self.anchors.fullmatch(w)]
+        top = (None, 0.0, 0)
+        for name, v, n in zip(self.names, self.vectors, self.lengths):
+            begun = -1
+            for mark in marks:
+                for s in range(max(begun + 1, mark - n + 1, 0), min(mark, len(words) - n) + 1):
+                    begun = s
+                    w = self.weight(words[s : s + n])
+                    c = sum(x * v[t] for t, x in w.items() if t in v) / math.sqrt(sum(x * x for x in w.values()))
+                    if c > top[1] + 1e-12:
+                        top = (name, c, n)
+        return top
+
     def best(self, text: str | None) -> tuple[str | None, float, float]:
         """(licence, cosine, share of the text's words): the best stretch of whole lines anywhere in the text.
 
         A stretch grows from each line that holds an anchor over the lines behind it, up to the longest template's
-        word count and a half; ties go to the first template."""
+        word count and a half; in a line longer than the longest template, windows of each template's length around the
+        anchors count as well.  Ties go to the first template."""
         if not text:
             return None, 0.0, 0.0
         low = text.lower()
@@ -107,6 +126,11 @@ class Templates:
         for i, line in enumerate(lines):
             if not self.anchors.search(line):
                 continue
+            if len(words_of(i)) > max(self.lengths):
+                name, c, n = self.window(words_of(i))
+                if c >= LEAST and c > top[1] + 1e-12:
+                    total = total or max(1, len(TERM.findall(low)))
+                    top = (name, c, n / total)
             for s in range(max(0, i - 2), i + 1):
                 stretch: list[str] = []
                 for j in range(s, len(lines)):
@@ -171,7 +195,9 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
 
     found = rows.select("key", "path", best("text").alias("b")).select("key", "path", parent(F.col("path")).alias("dir"), "b.*")
     found = materialise(found)
-    own = found.where((F.col("share") >= FILE_SHARE) & F.col("dir").isNotNull())
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    is_file = F.col("licence").isNotNull() & ((F.col("share") >= FILE_SHARE) | named)
+    own = found.where(is_file & F.col("dir").isNotNull())
     held = own.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("x")).select("dir", F.col("x.licence").alias("held"))
     held = materialise(held)
     now = materialise(found.where("dir is not null").select("dir", F.col("dir").alias("at")).distinct())
@@ -184,7 +210,7 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
         if now.isEmpty():
             break
     out = attach(found, materialise(solved), "dir")
-    return out.select("key", "path", F.coalesce("licence", "held").alias("licence"), "cosine", (F.col("licence").isNotNull() & (F.col("share") >= FILE_SHARE)).alias("licence_file"), (F.col("licence").isNull() & F.col("held").isNotNull()).alias("inherited"))
+    return out.select("key", "path", F.coalesce("licence", "held").alias("licence"), "cosine", is_file.alias("licence_file"), (F.col("licence").isNull() & F.col("held").isNotNull()).alias("inherited"))
 
 
 def op6_licences(spark, sf_dir: str) -> DataFrame:
