@@ -382,6 +382,35 @@ def test_toxicity_held_out_and_pairs(spark):
     assert toxicity.score_toxicity(docs(spark, ODD), None).where("score = 0").count() == len(ODD)
 
 
+def test_toxicity_of_terms_that_matter_only_together(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    # of the rows with either word half are toxic, and so are half of those with neither
+    rows = [(i, " ".join(rng.sample(common, 10) + {0: ["dull", "gang"], 1: ["dull"], 2: ["gang"], 3: []}[i % 4]), "en", "s") for i in range(4000)]
+    lab = spark.createDataFrame([(i, int(i % 4 in (0, 3))) for i in range(4000)], "doc_id long, toxic int")
+    machine = toxicity.fit_toxicity(docs(spark, rows), lab, usable=F.col("doc_id") < 3000)
+    out = toxicity.score_toxicity(docs(spark, rows), machine, score_name="s").where("doc_id >= 3000").toPandas()
+    assert ((out.s >= 0.5) == (out.doc_id % 4).isin([0, 3])).mean() > 0.99
+
+
+def test_toxicity_scores_are_the_machines_sum():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine({}, -0.3, rng.normal(size=50), rng.normal(size=(50, toxicity.WIDTH)))
+    rows = [rng.choice(50, n, replace=False) for n in (0, 1, 7, 0, 30)] + [np.empty(0, np.int64)]
+    for r, got in zip(rows, machine.score(rows)):
+        z = -0.3 + sum(machine.weights[i] for i in r) + sum(machine.vectors[i] @ machine.vectors[j] for i, j in itertools.combinations(r, 2))
+        assert abs(got - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+    assert len(machine.score([])) == 0
+
+
+@pytest.mark.parametrize("labels", [[(1, 1), (2, 0), (3, 0)], [(1, 0), (2, 0), (3, 0)], [(1, 1), (2, 1)], [(1, 1), (1, 0), (2, 0)], [(9, 1)], [(3, 1)]])
+def test_toxicity_with_hardly_a_label(spark, labels):
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit_toxicity(docs(spark, ODD), lab)
+    out = toxicity.score_toxicity(docs(spark, ODD), machine, score_name="s").toPandas()
+    assert len(out) == len(ODD) and out.s.between(0, 1).all() and (machine is None) == (labels == [(9, 1)])
+
+
 # 10 decontamination
 
 
