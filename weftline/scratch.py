@@ -1,8 +1,9 @@
 """Lineage cuts in the folder all executors share.
 
 ``materialise`` writes a frame as Parquet below ``spark.checkpoint.dir`` and reads it back, so that a lost
-executor costs a re-read and never a recomputation of what lies before.  Only where that setting is absent (a
-local session, as in tests) a temporary folder of this machine stands in for it.
+executor costs a re-read and never a recomputation of what lies before.  Only where that setting is absent and the
+master is local (as in tests and on a laptop) a temporary folder of this machine stands in for it; elsewhere its
+absence is an error, as executors would write where nobody else can read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if app not in _local:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="weftline-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             _local[app] = f"file://{folder}"
@@ -36,10 +39,15 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weftline-{app}"
 
 
+def reserve(spark: SparkSession) -> str:
+    """A path for one more intermediate table."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to shared storage and return a scan of what was written."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = reserve(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
@@ -64,10 +72,13 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, scratch_root(spark))
 
 
-def small_enough(df: DataFrame, row_bytes: int) -> bool:
-    """Whether ``df`` (cheap to count) stays below both broadcast bounds at ``row_bytes`` a row."""
-    rows = df.limit(BROADCAST_ROWS + 1).count()
-    return rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+def small_enough(df: DataFrame, row_bytes: int = 16) -> bool:
+    """Whether ``df`` (cheap to count) stays below both broadcast bounds: its values are measured, as JSON, and a row
+    counts as ``row_bytes`` at least."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    size = F.greatest(F.lit(row_bytes), F.octet_length(F.to_json(F.struct(*[df[c] for c in df.columns]))))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def attach(big: DataFrame, lookup: DataFrame, key: str, row_bytes: int = 64, hot_share: float = 0.001) -> DataFrame:
@@ -75,7 +86,8 @@ def attach(big: DataFrame, lookup: DataFrame, key: str, row_bytes: int = 64, hot
 
     A lookup of checked size is broadcast.  A larger one is joined by a shuffle, but keys that hold more than
     ``hot_share`` of ``big`` (1/hot_share of them at most) are joined by a broadcast of just their lookup rows, so
-    no key gathers its rows in one task.  Null keys match nothing.
+    no key gathers its rows in one task; should even these rows be too large, the planner splits the skewed
+    partitions.  Null keys match nothing.
     """
     if small_enough(lookup, row_bytes):
         return big.join(F.broadcast(lookup), key, "left")
@@ -84,7 +96,9 @@ def attach(big: DataFrame, lookup: DataFrame, key: str, row_bytes: int = 64, hot
     hot = materialise(counts.where(F.col("count") > bound).select(key))
     if hot.isEmpty():
         return big.join(lookup.hint("merge"), key, "left")
-    hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")
+    hot_lookup = materialise(lookup.join(F.broadcast(hot), key, "left_semi"))
+    if not small_enough(hot_lookup, row_bytes):
+        return big.join(lookup.hint("merge"), key, "left")
     first = big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_lookup), key, "left")
     rest = big.join(F.broadcast(hot), key, "left_anti").join(lookup.hint("merge"), key, "left")
     return first.unionByName(rest)
