@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, normal
 from weftline.llm import decontaminate, html, langid, licences, linededup, lm, mixing, simhash, topk, toxicity, vptree
-from weftline.llm.covertree import Best, cover_tree, dual_search
+from weftline.llm.covertree import LEAF, Best, cover_tree, dual_search
 from weftline.llm.queries import ORACLES, QUERIES
 from weftline.llm.wrapper import Group, align, fold, pack, read, signs, unpack
 
@@ -346,19 +346,55 @@ def test_topk_brute_force_with_ties(spark):
     assert len(few) == 2 and topk.top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def nodes_of(node):
+    yield node
+    for c in node.kids:
+        yield from nodes_of(c)
+
+
+@pytest.mark.parametrize("spread", [1, 30])
+def test_cover_tree_levels_cover_nest_and_part(spread):
+    rng = np.random.default_rng(spread)
+    x = np.rint(np.concatenate([rng.normal(c, spread, (150, 6)) for c in rng.normal(0, 60, (12, 6))]))
+    x = np.concatenate([x, x[:40], x[:1].repeat(50, axis=0)])
+    tree = cover_tree(x)
+    assert sorted(tree.members.tolist()) == list(range(len(x)))
+    for node in nodes_of(tree):
+        away = np.sqrt(((x[node.members] - node.centre) ** 2).sum(axis=1))
+        assert np.isclose(away.max(), node.radius) and node.radius <= 2.0**node.level and (x[node.row] == node.centre).all()
+        if node.leaf:
+            assert node.n <= LEAF or node.radius == 0
+            continue
+        child = [c.row for c in node.kids] + node.loose.tolist()
+        assert node.row in child and all(c.radius <= 2.0 ** (node.level - 1) for c in node.kids)
+        apart = np.sqrt(((x[child][:, None] - x[child][None]) ** 2).sum(axis=2))[np.triu_indices(len(child), 1)]
+        assert (apart > 2.0 ** (node.level - 1)).all()
+
+
 def test_dual_search_prunes_exactly():
+    """At the settings of production: tight clusters leave most pairs unscored, and nothing is lost."""
     rng = np.random.default_rng(1)
-    d = np.rint(np.concatenate([rng.normal(c, 2, (400, 5)) for c in rng.normal(0, 40, (8, 5))]))
+    d = np.rint(np.concatenate([rng.normal(c, 3, (160, 16)) for c in rng.normal(0, 60, (25, 16))]))
     ids = np.arange(len(d))
     q = d[::20]
-    best = Best(len(q), 5)
-    dual_search(cover_tree(q, 16), q, ids[::20], cover_tree(d, 64), d, ids, best)
+    best = Best(len(q), 20)
+    for s in range(0, len(d), topk.ROWS):
+        dual_search(cover_tree(q), q, ids[::20], cover_tree(d[s : s + topk.ROWS]), d[s : s + topk.ROWS], ids[s : s + topk.ROWS], best)
+    assert best.scored < 0.25 * len(q) * len(d)
     for row, i in enumerate(ids[::20]):
         s = d @ q[row]
-        want = sorted((-int(s[j]), int(j)) for j in ids if j != i)[:5]
+        want = sorted((-int(s[j]), int(j)) for j in ids if j != i)[:20]
         assert [(-int(a), int(b)) for a, b in zip(best.scores[row], best.ids[row])] == want
 
 
+def test_topk_in_several_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(v) for v in rng.normal(size=5)]) for i in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, many = topk.top_inner_products(d, k=4, every=5), topk.top_inner_products(d, k=4, every=5, block=17)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 320
+
+
 # 9 toxicity
 
 

@@ -2,13 +2,13 @@
 
 Queries are taken in blocks of bounded size.  For each block the driver grows the query tree and a first floor for
 every query's kth score from a bounded sample of candidates; tasks grow cover trees over their rows and search both
-trees together.  A task returns at most k rows a query, and the floor removes most of those before the merge.
+trees together.  A task returns at most k rows a query, and the floor removes most of those before the merge.  Each
+block's rows are written before the next block starts, so neither plan nor driver grows with the number of blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,10 @@ from pyspark.sql import Window as W
 
 from weftline.llm.common import table
 from weftline.llm.covertree import LOWEST, Best, cover_tree, dual_search
-from weftline.scratch import materialise
+from weftline.scratch import discard, materialise, reserve
 
-#: Queries a block, candidates sampled for the first floor, and candidates under one data tree.
-BLOCK, SAMPLE, ROWS = 16_384, 4_096, 65_536
+#: Queries a block, candidates sampled for the first floor, candidates under one data tree, and in one task at most.
+BLOCK, SAMPLE, ROWS, TASK = 16_384, 4_096, 4_096, 65_536
 
 
 def integer_vectors(frame: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -59,12 +59,12 @@ def top_inner_products(frame: DataFrame, id_col: str = "vec_id", vector_col: str
     if not n or first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    parts = max(1, -(-n // ROWS))
+    parts = max(-(-n // TASK), min(-(-n // ROWS), 4 * spark.sparkContext.defaultParallelism))
     dealt = rows.repartition(parts)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).limit(2 * SAMPLE).toArrow()
     sx, sid = dense(sample.column("x"), width), sample.column("id").to_numpy()
-    found, n_asked = [], asked.count()
-    pieces = -(-n_asked // block)
+    pieces = -(-asked.count() // block)
+    folder, found = reserve(spark), None
     for piece in range(pieces):
         some = asked.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece).toArrow()
         if not some.num_rows:
@@ -78,13 +78,16 @@ def top_inner_products(frame: DataFrame, id_col: str = "vec_id", vector_col: str
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qx, qid, floor = shared.value
             qx = qx.astype(np.float64)
-            tree, best, held = cover_tree(qx), Best(len(qid), k, floor), []
+            tree, best, held = None, Best(len(qid), k, floor), []
 
             def drain() -> None:
+                nonlocal tree
+                tree = tree or cover_tree(qx)
                 part = pa.Table.from_batches(held)
                 dx, did = dense(part.column("x"), width), part.column("id").to_numpy()
-                dual_search(tree, qx, qid, cover_tree(dx), dx, did, best)
                 held.clear()
+                for s in range(0, len(did), ROWS):
+                    dual_search(tree, qx, qid, cover_tree(dx[s : s + ROWS]), dx[s : s + ROWS], did[s : s + ROWS], best)
 
             for batch in batches:
                 if batch.num_rows:
@@ -97,10 +100,15 @@ def top_inner_products(frame: DataFrame, id_col: str = "vec_id", vector_col: str
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(best.ids[row, col]), pa.array(best.scores[row, col])], ["query_id", "vec_id", "score"])
 
-        found.append(dealt.mapInArrow(search, shape))
-    merged = reduce(DataFrame.unionByName, found)
+        found = dealt.mapInArrow(search, shape)
+        if pieces > 1:
+            found.write.mode("append").parquet(folder)
+            shared.unpersist()
+    if pieces > 1:
+        found = spark.read.schema(shape).parquet(folder)
+        discard(rows)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:
