@@ -5,8 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -18,7 +21,7 @@ from tests.conftest import SMALL, normal
 from weftline.llm import decontaminate, html, langid, licences, linededup, lm, mixing, simhash, topk, toxicity, vptree
 from weftline.llm.covertree import LEAF, Best, cover_tree, dual_search
 from weftline.llm.queries import ORACLES, QUERIES
-from weftline.llm.wrapper import Group, align, fold, pack, read, signs, unpack
+from weftline.llm.wrapper import add_page, choose, fold, merge, pack, read, size, texts_of, unpack
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, key string, id int"
 
@@ -262,13 +265,84 @@ def test_wrapper_finds_template_text_without_marks(spark):
     page = "<div><p>Always here</p></div><div><p>{}</p><p>{} more</p></div><div><p>Bottom line</p></div>"
     pages = spark.createDataFrame([(i, f"http://plain.example/{i}", page.format(f"t{i}", i)) for i in range(5)], "page_id long, url string, html string")
     assert sorted(r.text for r in html.main_text(pages).collect()) == [f"t{i} {i} more" for i in range(5)]
+    assert sorted(r.text for r in html.main_text(pages, by_shuffle=True).collect()) == [f"t{i} {i} more" for i in range(5)]
+    # on two pages nothing can be told from the template, unless a parameter says so
+    two = pages.where("page_id < 2")
+    assert {r.text for r in html.main_text(two, template_pages=2).collect()} == {"t0 0 more", "t1 1 more"}
+    assert all("Always here" in r.text for r in html.main_text(two).collect())
+
+
+def own_article(page):
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", "\n"))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+    return " ".join(b for b in blocks if b)
+
+
+def unmarked(page, rename=""):
+    """The page without class names (or with one of its own) and with elements that say nothing of their role."""
+    return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', rename, page))
+
+
+@pytest.mark.parametrize("change", ["as it is", "class names gone", "class names renamed", "roles gone"])
+def test_html_of_the_fixture_pages(spark, change):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    make = {"as it is": lambda p, i: p, "class names gone": lambda p, i: re.sub(r' class="[^"]*"', "", p), "class names renamed": lambda p, i: re.sub(r' class="[^"]*"', f" class='k{i % 7}x'", p), "roles gone": lambda p, i: unmarked(p)}[change]
+    pages = spark.createDataFrame([(r.page_id, r.url, make(r.html, r.page_id)) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert got == {r.page_id: own_article(r.html) for r in rows}
+
+
+def test_html_needs_its_wrapper(spark, monkeypatch):
+    """Without what the wrapper says, pages whose marks say nothing come out with menu, advert and footer."""
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()
+    plain = [(r.page_id, unmarked(r.html)) for r in rows]
+    ignored = {i: " ".join(t.value for k in read(p).kids for t in texts_of(k)) for i, p in plain}
+    wrong = [r.page_id for r in rows if ignored[r.page_id] != own_article(r.html)]
+    assert len(wrong) == len(rows)
+
+
+def test_html_teasers_notices_and_short_articles(spark):
+    page = "<body><div><a href=1>One</a><a href=2>Two</a></div><div><p>Shared notice of this site.</p><h1>T {i}</h1><p>{text}</p><p class=ad>Buy {i}</p></div><article><p>Tease {i}</p></article><article><p>Other {i}</p></article><div><ul><li><a>more {i}</a><li><a>and {i}</a></ul></div></body>"
+    rows = [(i, f"http://t.example/{i}", page.format(i=i, text=f"prose {i} " * (40 if i else 1))) for i in range(6)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i} " + (f"prose {i} " * (40 if i else 1)).strip() for i in range(6)}
+
+
+def test_html_of_malformed_and_long_pages_in_linear_time():
+    began = time.time()
+    for page in ("<a " + '"' * 100_001, "<a " * 30_000 + '"', '<a ">"' * 50_000, "<" * 100_000, "</" * 50_000, "<div>" * 50_000 + "deep", "<!--" * 40_000, "<p>x" * 40_000, "<ul>" + "<li>x" * 40_000, "".join(f"<div id=i{i} class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}>x</div>" for i in range(20_000))):
+        html.article(page, None)
+    assert time.time() - began < 12
+    assert html.article("<div>" * 500 + "deep" + "</div>" * 500 + "after", None) == "deep after"
+    assert html.article('<p title="x>y">one</p><p title="never closed>two', None) == "one two" and html.article('<p>a<b title=">">c</b>', None) == "ac"
+
+
+def test_wrappers_are_bounded_whatever_the_pages():
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+
+    def some(depth):
+        return "".join(f"<div class={name()}>{some(depth - 1) if depth else name()}</div>" for _ in range(rng.randrange(1, 5)))
+
+    whole = None
+    for _ in range(150):
+        whole = add_page(whole, fold(read(some(4))))
+    assert size(whole) <= 4_096 and whole.pages == 150
+    assert "needle" in html.article("<div class=zzzz>needle</div>", choose(whole))
 
 
 def test_wrapper_alignment():
     one, two = fold(read("<ul><li>a<li>b</ul><p>x</p>")), fold(read("<ul><li>c</ul><h2>t</h2><p>x</p>"))
-    w = align(one, two)
-    assert any(isinstance(n, Group) and n.least == 0 for n in w) and signs(unpack(pack(w))) == signs(w)
-    assert signs(align(w, two)) == signs(align(align(w, two), two))
+    w = merge(one, two)
+    assert [(x.node.tag, x.least, x.most) for x in w.items] == [("ul", 1, 1), ("h2", 0, 1), ("p", 1, 1)]
+    assert [(x.node.tag, x.least, x.most) for x in w.items[0].node.items] == [("li", 1, 2)]
+    assert pack(unpack(pack(w))) == pack(w)
+    again = merge(merge(w, two), two)
+    assert [x.key for x in again.items] == [x.key for x in w.items] and again.pages == 4
+    pairs = fold(read("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
+    assert [(x.node.tag, x.least, x.most) for x in pairs.items[0].node.items] == [("(", 1, 3)]
+    single = merge(pairs, fold(read("<dl><dt>a<dd>b</dl>")))
+    assert [(x.node.tag, x.least, x.most) for x in single.items[0].node.items] == [("(", 1, 3)]
 
 
 # 6 licences
