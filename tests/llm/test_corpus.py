@@ -537,6 +537,17 @@ def edits(a, b):
     return best
 
 
+def whole_edits(a, b):
+    """Edits between two strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def plain(text):
     codes, _, _ = decontaminate.normalise([text])
     return "".join(map(chr, codes[:-1].tolist()))
@@ -560,9 +571,12 @@ def test_decontamination_brute_force(spark):
     for i, t, *_ in rows:
         for k, x in items:
             a, b = plain(x), plain(t)
-            limit = max(0, min(int(len(a) * decontaminate.EDITS), (len(a) - decontaminate.Q) // decontaminate.Q))
-            if a and (edits(a, b) <= limit if len(a) >= decontaminate.Q else f" {a} " in f" {b} "):
+            if a and (edits(a, b) <= len(a) // 10 if len(a) >= 8 else f" {a} " in f" {b} "):
                 want[i, k] += 1
+    by_id, by_item = dict((r[0], r[1]) for r in rows), dict(items)
+    for r in got:
+        a, b = plain(by_item[r.item_id]), plain(by_id[r.doc_id][r.start : r.end])
+        assert r.edits == edits(a, plain(by_id[r.doc_id])) == whole_edits(a, b), r
     assert Counter((r.doc_id, r.item_id) for r in got) == want and len(want) > 30 and any(r.edits > 0 for r in got)
     clean = decontaminate.uncontaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in clean.collect()} == {i for i, *_ in rows} - {i for i, _ in want}
@@ -570,6 +584,50 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.uncontaminated(docs(spark, ODD), spark.createDataFrame([], "item_id long, text string")).count() == len(ODD)
 
 
+@pytest.mark.parametrize("m", range(8, 60))
+def test_decontamination_allows_a_tenth_of_any_item(m):
+    rng = random.Random(m)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(m))
+    for spread in (1, 3, 9):
+        changed = list(item)
+        for e in range(m // 10):
+            changed[(e * m // max(1, m // 10) + spread) % m] = "0"
+        changed = "".join(changed)
+        want = edits(item, f"before {changed} after")
+        got = decontaminate.Matcher([1], [decontaminate.normalise([item])[0][:-1]]).find([f"before {changed} after"])
+        assert want <= m // 10 and [(r, i, e) for r, i, e, *_ in got] == [(0, 0, want)]
+
+
+def test_decontamination_reports_where_an_item_starts():
+    find = lambda item, text: decontaminate.Matcher([1], [decontaminate.normalise([item])[0][:-1]]).find([text])
+    text = "at one twoo three four five six, so"
+    ((_, _, e, a, b),) = find("one two three four five six", text)
+    assert (e, text[a:b]) == (1, "one twoo three four five six")
+    text = "at ne two three four five six, so"
+    ((_, _, e, a, b),) = find("one two three four five six", text)
+    assert e == 1 and text[a:b].strip() == "ne two three four five six"
+
+
+def test_decontamination_of_items_that_share_a_phrase():
+    rng = random.Random(1)
+    phrase = "answer the following question and give reasons for every step that you take "
+    items = [phrase + " ".join(f"w{rng.randrange(10**6)}" for _ in range(22)) for _ in range(2000)]
+    made = decontaminate.Matcher(list(range(2000)), [decontaminate.normalise([x])[0][:-1] for x in items])
+    began = time.time()
+    got = made.find([phrase * 18, f"{phrase * 9} so {items[77]} and {items[1500].replace('w', 'v', 2)}"])
+    assert {(r, i) for r, i, *_ in got} == {(1, 77), (1, 1500)} and time.time() - began < 5
+
+
+def test_decontamination_in_several_blocks(spark, monkeypatch):
+    items = [(i, f"item {i * 7919} holds words {i * 104729} of its own") for i in range(30)]
+    rows = [(i, f"before {items[i % 30][1]} after", "en", "s") for i in range(40)] + ODD
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    got = decontaminate.contaminations(docs(spark, rows), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got if r.edits == 0) >= Counter((i, i % 30) for i in range(40))
+    assert decontaminate.uncontaminated(docs(spark, rows), bench).count() == len(ODD)
+
+
 # the pipeline
 
 
