@@ -103,6 +103,26 @@ def test_mixing_brute_force(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, None, None, None)])).first()["taken"] == 0
     made = mixing.mixed_documents(docs(spark, rows))
     assert made.count() == got.copies.sum() and made.columns == [*docs(spark, []).columns, "copy"]
+    clash = docs(spark, rows).withColumns({"copy": F.lit("x"), "whole": F.lit(1), "n": F.lit(2), "Low": F.lit(3)})
+    out = simhash.materialise(mixing.mixed_documents(clash))
+    assert out.count() == made.count() and sorted(out.columns) == sorted(clash.columns) and out.where("n <> 2 or copy < 1").count() == 0
+
+
+def test_mixing_meets_its_targets_and_draws_fairly(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(1, 60), "en", f"s{i % 5}" if i % 3 else "hot") for i in range(900)]
+    largest = max(len(t) // 2 for _, t, *_ in rows)
+    extra = []
+    for seed in ("one", "two"):
+        got = mixing.mix(docs(spark, rows), seed=seed).toPandas()
+        for (size, target), part in got.groupby(["source_size", "target"]):
+            assert abs(part.taken.sum() - target) <= largest, (size, target)
+        rate = got.target / got.source_size
+        assert ((got.copies - np.floor(rate)).isin([0, 1])).all()
+        some = (rate % 1 > 0.1) & (rate % 1 < 0.9)
+        extra.append(set(got[some & (got.copies > rate)].doc_id))
+        assert some.sum() > 100 and abs((got.copies > rate)[some].mean() - (rate % 1)[some].mean()) < 0.1
+    assert extra[0] != extra[1]
 
 
 # 3 language model
