@@ -235,6 +235,10 @@ def test_near_duplicate_stage(spark):
     repeated = docs(spark, [*rows[:1], *rows[:1], *ODD])
     out = simhash.without_near_duplicates(repeated)
     assert out.columns == repeated.columns and Counter(r.doc_id for r in out.collect())[0] == 1
+    one, two = rows[0][1], rows[5][1]
+    mixed = docs(spark, [(1, one, "en", "s"), (2, one, "en", "s"), (2, two, "en", "s"), (2, two, "en", "s"), (3, two, "en", "s"), (None, one, "en", "s"), (4, None, "en", "s"), (5, "", "en", "s")])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.without_near_duplicates(mixed).collect())
+    assert kept == sorted([(0, one), (1, one), (2, two), (4, "")])
 
 
 def jaccard(a, b, size=5):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, raw, table, words
+from weftline.llm.common import chunks, fresh, raw, table, words
 from weftline.llm.vptree import Forest, build, link, route
 from weftline.operators.graph import connected_components
 from weftline.scratch import attach, discard, materialise, small_enough, without
@@ -96,8 +96,10 @@ def fingerprints(texts: list[bytes | None], size: int, n_words: int = 1, distinc
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int, n_words: int, distinct: bool = False) -> DataFrame:
-    """(id, fp, n): fp as 8 * n_words bytes, first the 64-bit fingerprint itself, most significant byte first."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, fp, n, th): fp as 8 * n_words bytes, first the 64-bit fingerprint itself, most significant byte first; th
+    tells apart the texts under one id."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     kind = dict(rows.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +109,9 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int, n_
             if parts:
                 fp = np.concatenate([p for p, _ in parts]).astype(">u8").tobytes()
                 width = 8 * n_words
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fp[i : i + width] for i in range(0, len(fp), width)], pa.binary()), pa.array(np.concatenate([n for _, n in parts]), pa.int64())], ["id", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fp[i : i + width] for i in range(0, len(fp), width)], pa.binary()), pa.array(np.concatenate([n for _, n in parts]), pa.int64()), batch.column(2)], ["id", "fp", "n", "th"])
 
-    return rows.mapInArrow(work, f"id {kind}, fp binary, n long")
+    return rows.mapInArrow(work, f"id {kind}, fp binary, n long, th long")
 
 
 def as_words(column: pa.Array, n_words: int) -> np.ndarray:
@@ -117,12 +119,11 @@ def as_words(column: pa.Array, n_words: int) -> np.ndarray:
 
 
 def fingerprint_edges(groups: DataFrame, n_words: int, prefix_radius: int, radius: int, ratio: float | None) -> DataFrame:
-    """Edges (src, dst) between representatives whose fingerprints are in reach; (rep, fp, n) in, one row a fp.
+    """Edges (src, dst) between nodes whose fingerprints are in reach; (node, fp, n) in, one row a fp.
 
     With ``ratio`` only counts n within that ratio are compared: rows are dealt to bands of log(n) so wide, members
     of a band are searched by the band's own rows and by those of the band below.
     """
-    spark, kind = groups.sparkSession, dict(groups.dtypes)["rep"]
     step = -math.log(ratio) if ratio else None
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step).cast("int") if step else F.lit(0)
     groups = groups.withColumn("band", band)
@@ -144,7 +145,7 @@ def fingerprint_edges(groups: DataFrame, n_words: int, prefix_radius: int, radiu
             who, leaf, home = route(nodes, rows[:, :1], prefix_radius)
             bands = batch.column(2).to_numpy()[who]
             for up in (0, 1) if step else (0,):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array((bands + up).astype(np.int64) * (len(nodes) + 1) + leaf), pa.array(home & (up == 0))], ["rep", "fp", "shard", "home"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array((bands + up).astype(np.int64) * (len(nodes) + 1) + leaf), pa.array(home & (up == 0))], ["node", "fp", "shard", "home"])
 
     def search(part: pa.Table) -> pa.Table:
         home = part.column("home").to_numpy()
@@ -155,11 +156,11 @@ def fingerprint_edges(groups: DataFrame, n_words: int, prefix_radius: int, radiu
         link(rows[:members], rows, prefix_radius, radius, forest)
         root = forest.roots(np.arange(len(rows)))
         child = np.nonzero(root != np.arange(len(rows)))[0]
-        reps = part.column("rep").take(pa.array(order))
-        return pa.table({"src": reps.take(pa.array(child)), "dst": reps.take(pa.array(root[child]))})
+        nodes = part.column("node").take(pa.array(order))
+        return pa.table({"src": nodes.take(pa.array(child)), "dst": nodes.take(pa.array(root[child]))})
 
-    dealt = groups.select("rep", "fp", "band").mapInArrow(deal, f"rep {kind}, fp binary, shard long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, f"src {kind}, dst {kind}")
+    dealt = groups.select("node", "fp", "band").mapInArrow(deal, "node binary, fp binary, shard long, home boolean")
+    return dealt.groupBy("shard").applyInArrow(search, "src binary, dst binary")
 
 
 #: Candidates that one task compares: larger groups are cut in blocks, and every two blocks are compared.
@@ -205,10 +206,9 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, candidates: DataFrame, i
     Only texts of a component are read again.  A component up to ``BLOCK`` is compared in one task (small ones share
     tasks); of a larger one each pair of blocks is a task, so its rows travel once for every block.
     """
-    kind = dict(groups.dtypes)["rep"]
     blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     members = attach(candidates, materialise(blocks), "component", 48)
-    members = materialise(groups.where("rep is not null").select("rep", "fp").join(members.withColumnRenamed("node", "rep"), "rep"))
+    members = materialise(groups.where("rep is not null").select("rep", "fp", "node").join(members, "node"))
     total, reps = members.count(), members.select(F.col("rep").alias(id_col)).distinct()
     texts = docs.join(F.broadcast(reps) if small_enough(reps, 32) else reps.hint("merge"), id_col, "left_semi")
     sets = shingle_sets(texts, id_col, text_col, size, n_words)
@@ -221,7 +221,7 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, candidates: DataFrame, i
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     sets = sets.withColumn("own", own).withColumn("other", other)
     pair = F.concat_ws("/", F.col("component").cast("string"), F.least("own", "other"), F.greatest("own", "other"))
-    dealt = sets.select("rep", "fp", "shingles", "component", F.when(F.col("k") > 1, pair).otherwise(small).alias("shard"))
+    dealt = sets.select("node", "fp", "shingles", "component", F.when(F.col("k") > 1, pair).otherwise(small).alias("shard"))
 
     def search(part: pa.Table) -> pa.Table:
         fps = as_words(part.column("fp").combine_chunks(), n_words)
@@ -235,10 +235,10 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, candidates: DataFrame, i
             for i, j in confirm(fps[who], sets_of, radius, similarity):
                 src.append(who[i])
                 dst.append(who[j])
-        reps = part.column("rep")
-        return pa.table({"src": reps.take(pa.array(src, pa.int64())), "dst": reps.take(pa.array(dst, pa.int64()))})
+        nodes = part.column("node")
+        return pa.table({"src": nodes.take(pa.array(src, pa.int64())), "dst": nodes.take(pa.array(dst, pa.int64()))})
 
-    return dealt.groupBy("shard").applyInArrow(search, f"src {kind}, dst {kind}")
+    return dealt.groupBy("shard").applyInArrow(search, "src binary, dst binary")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, n_words: int = 1, prefix_radius: int = 2, radius: int = 2, ratio: float | None = None, confirmed: bool = False) -> DataFrame:
@@ -252,7 +252,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets have a Jaccard similarity of ``ratio`` or more.
     """
     fps = materialise(fingerprint_table(docs, id_col, text_col, size, n_words, confirmed))
-    groups = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
+    # nodes are texts' fingerprints (long ones by their digest), not ids: an id may repeat with another text
+    node = F.col("fp") if n_words == 1 else F.unhex(F.md5("fp"))
+    groups = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n")).withColumn("node", node))
     edges = materialise(fingerprint_edges(groups.where("rep is not null"), n_words, prefix_radius, radius, ratio))
     found = materialise(connected_components(edges))
     discard(edges)
@@ -261,9 +263,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(found)
         found = materialise(connected_components(exact))
         discard(exact)
-    labels = materialise(attach(groups.select("fp", "rep").withColumn("node", F.col("rep")), found, "node", 48).select("fp", F.coalesce("component", "rep").alias("component")))
-    discard(groups, found)
-    return attach(fps, labels, "fp", 48 + 8 * n_words).select("id", "fp", "n", "component")
+    joined = materialise(attach(groups.select("fp", "rep", "node"), found, "node", 48).select("fp", "rep", F.coalesce("component", "node").alias("component")))
+    least = materialise(joined.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("k")).where("k > 1").select("component", "least"))
+    labels = materialise(attach(joined, least, "component", 48).select("fp", F.coalesce("least", "rep").alias("component")))
+    discard(groups, found, joined, least)
+    return attach(fps, labels, "fp", 48 + 8 * n_words).select("id", "fp", "n", "component", "th")
 
 
 #: The pipeline's rule: five-word shingles and a Jaccard similarity of 0.8.
@@ -299,22 +303,31 @@ def stage_radii(similarity: float = STAGE_SIMILARITY, n_words: int = STAGE_WORDS
 def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """(id, component) under the pipeline's rule: five-word shingles, similarity of ``similarity`` or more."""
     prefix, radius = stage_radii(similarity)
-    return simhash_groups(docs, id_col, text_col, STAGE_SIZE, STAGE_WORDS, prefix, radius, similarity, True).select("id", "component")
+    return simhash_groups(docs, id_col, text_col, STAGE_SIZE, STAGE_WORDS, prefix, radius, similarity, True).select("id", "component", "th")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group, the one of the smallest id; all columns of ``docs``.
 
-    Of rows that repeat an id one stays.  Rows without an id are kept.  Texts are not shuffled unless the list of
-    dropped ids outgrows the broadcast bound or ids repeat.
+    What counts is the row: texts that differ under one id are documents of their own, each goes or stays with its
+    group, and of wholly repeated (id, text) one row stays.  Rows without an id are kept.  Null and empty texts form
+    one group like any other equal texts.  Texts are not shuffled unless the list of dropped ids outgrows the broadcast
+    bound or ids repeat.
     """
-    found = materialise(near_duplicate_ids(docs, id_col, text_col, similarity))
-    drop = materialise(found.where("id <> component").select(F.col("id").alias(id_col)).distinct())
-    kept = without(docs, drop, id_col)
-    repeated = found.where("id is not null").groupBy("id").count().where("count > 1")
+    found = materialise(near_duplicate_ids(docs, id_col, text_col, similarity).where("id is not null"))
+    repeated = materialise(found.groupBy("id").count().where("count > 1").select("id"))
     if repeated.isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+        drop = materialise(found.where("id <> component").select(F.col("id").alias(id_col)))
+        return without(docs, drop, id_col)
+    best = found.where("id = component").groupBy("component").agg(F.min("th").alias("best"))
+    drop = materialise(found.join(best, "component", "left").where("id <> component or th <> best").select(F.struct("id", "th").alias("row")).distinct())
+    row, again = fresh(docs, "row", "again")
+    mine = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")))
+    kept = without(mine, drop.withColumnRenamed("row", row), row)
+    twice = kept.where(F.col(id_col).isNotNull()).join(repeated.select(F.col("id").alias(again)), F.col(id_col) == F.col(again), "left")
+    once = twice.where(F.col(again).isNull()).drop(again)
+    more = twice.where(F.col(again).isNotNull()).drop(again).dropDuplicates([row])
+    return once.unionByName(more).unionByName(kept.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
