@@ -58,6 +58,8 @@ def test_language_held_out_accuracy_and_rejection(spark):
     best, score, rejected = model.predict(["Привет как дела", "123 ...", None, "the and of", ""])
     assert list(best >= 0) == [True, False, False, True, False] and list(rejected) == [True, True, True, False, True]
     assert (score[[1, 2, 4]] == 0).all()
+    unseen = ["Questa mattina abbiamo camminato lungo il fiume fino alla piazza del mercato", "Jutros smo hodali uz rijeku sve do gradske tržnice i popili kavu", "Tänä aamuna kävelimme joen vartta kauppatorille ja joimme kahvia", "Bu sabah nehir boyunca yürüyüp pazar yerine kadar gittik", "xkq zzv qqp wvx jjk", "asdfgh qwerty zxcvbn"]
+    assert model.predict(unseen)[2].all()
 
 
 def test_language_odd_rows(spark):
@@ -66,7 +68,35 @@ def test_language_odd_rows(spark):
     out = langid.identify(d, model).toPandas()
     assert len(out) == len(ODD) + 40 and set(out[out.doc_id.isin([1, 2, 3])].lang_pred) == {"und"}
     assert (out[out.doc_id == 4].lang_pred.nunique()) == 1 and "score" in out
-    assert langid.accepted(docs(spark, [])).count() == 0
+    assert langid.accepted(docs(spark, [])).count() == 0 and langid.accepted(docs(spark, [(1, "no label", None, "s")])).count() == 1
+
+
+def test_language_logits_are_means_of_embeddings():
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2]))
+
+    def plain(text):
+        total, n, padded = np.zeros(2), 0, [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0]
+        for k in langid.ORDERS:
+            for i in range(len(padded) - k + 1):
+                g = padded[i : i + k]
+                if not any(g) or 0 in g[1:-1] or (k > 2 and not any(g)):
+                    continue
+                h = k
+                for c in g:
+                    h = ((h ^ c) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                total += model.scores[h & (langid.BUCKETS - 1)]
+                n += 1
+        return total / max(n, 1) + model.bias
+
+    for text in ("ab", "one two", "É, zwei!  drei", "x"):
+        assert np.allclose(model.logits([text])[0][0], plain(text), atol=1e-5), text
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}o " * 5, f"l{i % 300}", "s") for i in range(600)]
+    assert len(langid.fit_languages(docs(spark, rows)).languages) == 300
     assert langid.identify(docs(spark, ODD), None).where("rejected").count() == len(ODD)
 
 

@@ -4,8 +4,9 @@ A text is the average of the embeddings of its letter n-grams (n = 1 to 4, insid
 a fixed number of buckets; a linear softmax over that average gives the languages.  The model is trained by
 mini-batch SGD in numpy on a bounded sample of labelled rows.  As the output layer is linear, embeddings and output
 layer fold into one table of a score per bucket and language, so scoring is a gather and a mean.  Confidences are
-calibrated by a temperature, and texts whose confidence falls below what calibration texts of any known language
-reach are rejected.
+calibrated by a temperature.  A text is rejected if its confidence, or the share of its trigrams that the training
+texts have, falls below what calibration texts of the known languages reach: the second tells languages that were never
+learnt and strings of letters from short texts of a known one, whatever the softmax says of them.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, id_split, table
+from weftline.llm.common import chunks, fresh, id_split, table
 
 UNKNOWN = "und"
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
-#: Bound of the training sample: rows a language, and languages.
-ROWS_A_LANGUAGE, LANGUAGES = 300, 256
+#: Bound of the training sample: rows a language; every language is learnt.
+ROWS_A_LANGUAGE = 300
+#: Slots for trigrams seen in training, and the least distance from the known languages, in deviations, that rejects.
+SEEN, FAR = 1 << 20, 6.0
 EPOCHS, BATCH, RATE = 6, 64, 40.0
 #: Share of calibration texts of known languages that rejection may lose, and the confidence below which a text is
 #: rejected at most (a text of confidence above this is never rejected).
@@ -63,8 +66,8 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def grams(codes: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, where its n-grams start and their buckets.  Runs of non-letters are word edges; an n-gram
+def grams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order, where its n-grams start and their hashes.  Runs of non-letters are word edges; an n-gram
     may begin or end with an edge, but never crosses one."""
     letter = codes > 0
     mix = np.uint32(0x9E3779B1)
@@ -82,7 +85,7 @@ def grams(codes: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndar
         if n == 2:
             inside = letter[:m] | letter[1:]
         at = np.flatnonzero(inside)
-        yield at, (h[at] & np.uint32(buckets - 1)).astype(np.int64)
+        yield n, at, h[at]
 
 
 @dataclass
@@ -92,29 +95,43 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    seen: np.ndarray | None = None  # trigrams of the training texts, by hash
+    usual: float = 1.0  # share of a known text's trigrams that are seen, its deviation over texts, and the limit
+    spread: float = 0.0
+    limit: float = np.inf
 
-    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits a text, and whether it has a letter."""
+    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Logits a text, whether it has a letter, its number of trigrams, and how many of them are seen."""
         codes, ends = letters(texts)
         starts = np.concatenate([[0], ends[:-1]])
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for at, bucket in grams(codes, len(self.scores)):
+        three, known = np.zeros(len(texts)), np.zeros(len(texts))
+        for n, at, h in grams(codes):
             low = np.searchsorted(at, starts)
             high = np.searchsorted(at, ends)
             count += high - low
             full = np.flatnonzero(high > low)
             if len(full):
-                total[full] += np.add.reduceat(self.scores[bucket], low[full], axis=0)
+                total[full] += np.add.reduceat(self.scores[(h & np.uint32(len(self.scores) - 1)).astype(np.int64)], low[full], axis=0)
+                if n == 3 and self.seen is not None:
+                    three += high - low
+                    known[full] += np.add.reduceat(self.seen[(h & np.uint32(SEEN - 1)).astype(np.int64)].astype(np.int32), low[full])
         has = np.add.reduceat((codes > 0).astype(np.int64), starts) > 0 if len(texts) else np.zeros(0, bool)
-        return total / np.maximum(count, 1)[:, None] + self.bias, has
+        return total / np.maximum(count, 1)[:, None] + self.bias, has, three, known
+
+    def away(self, three: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How far, in deviations, the share of seen trigrams lies below that of known texts of the same length."""
+        n = np.maximum(three, 1)
+        return np.where(three > 0, (self.usual - known / n) / (np.sqrt(self.usual * (1 - self.usual) / n) + self.spread + 1e-3), 0.0)
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the language (-1: no letter), its calibrated probability, and whether the text is rejected."""
-        z, has = self.logits(texts)
+        """Index of the language (-1: no letter), its calibrated probability, and whether the text is rejected; of
+        languages of equal probability the first by name."""
+        z, has, three, known = self.logits(texts)
         p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
         top = p[np.arange(len(p)), best]
-        return np.where(has, best, -1), np.where(has, top, 0.0), ~has | (top < self.threshold)
+        return np.where(has, best, -1), np.where(has, top, 0.0), ~has | (top < self.threshold) | (self.away(three, known) > self.limit)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -127,7 +144,7 @@ def _sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     parts = []
     for a, b in chunks([len(t or "") for t in texts], 1 << 19):
         codes, ends = letters(texts[a:b])
-        key = np.concatenate([np.searchsorted(ends, at, side="right") * BUCKETS + g for at, g in grams(codes, BUCKETS)])
+        key = np.concatenate([np.searchsorted(ends, at, side="right") * BUCKETS + g for _, at, g in ((n, at, (h & np.uint32(BUCKETS - 1)).astype(np.int64)) for n, at, h in grams(codes))])
         key, n = np.unique(key, return_counts=True)
         row = key // BUCKETS
         total = np.bincount(row, weights=n, minlength=b - a)
@@ -179,19 +196,25 @@ def train(texts: list[str], langs: list[str], seed: int = 17) -> Model:
             back = g @ out.T
             out -= 0.05 * rate * (hidden.T @ g)
             np.add.at(e, bucket[at], -rate * weight[at, None] * back[mine])
-    model = Model(names, (e @ out).astype(np.float32), bias)
+    seen = np.zeros(SEEN, dtype=bool)
+    for a, b in chunks([len(t) for t in whole], 1 << 19):
+        for n, _, h in grams(letters(whole[a:b])[0]):
+            if n == 3:
+                seen[(h & np.uint32(SEEN - 1)).astype(np.int64)] = True
+    model = Model(names, (e @ out).astype(np.float32), bias, seen=seen)
     if len(hold):
         calibrate(model, [texts[i] for i in hold], y[hold], rng)
     return model
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
-    """Temperature by likelihood over whole texts and short stretches of them; then the rejection threshold: the
-    confidence that all but ``REJECT_SHARE`` of these texts reach, ``REJECT_MOST`` at most."""
+    """Temperature by likelihood over whole texts and short stretches of them; then the two limits of rejection, so
+    that all but ``REJECT_SHARE`` of these texts pass: the confidence (``REJECT_MOST`` at most) and the distance of the
+    share of seen trigrams (``FAR`` at least)."""
     samples = texts + _pieces(texts, rng)
     y = np.tile(y, 2)
-    z, has = model.logits(samples)
-    z, y = z[has], y[has]
+    z, has, three, known = model.logits(samples)
+    z, y, three, known = z[has], y[has], three[has], known[has]
     if not len(z):
         return
     grid = np.geomspace(0.02, 5, 60)
@@ -199,14 +222,19 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Gene
     model.temperature = float(grid[int(np.argmin(loss))])
     top = softmax(z / model.temperature).max(axis=1)
     model.threshold = float(min(REJECT_MOST, np.quantile(top, REJECT_SHARE)))
+    some = three > 0
+    if some.any():
+        share = known[some] / three[some]
+        model.usual, model.spread = float(share.mean()), float(share[three[some] >= np.median(three[some])].std())
+        model.limit = float(max(FAR, 1.25 * np.quantile(model.away(three, known), 1 - REJECT_SHARE)))
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column) -> tuple[list[str], list[str]]:
-    """At most ``ROWS_A_LANGUAGE`` (in expectation, half as many again at most) labelled rows of each of the
-    ``LANGUAGES`` most frequent languages, chosen by a hash of the text: one aggregate and one scan, no shuffle of
-    texts, so a hot language costs no more than another."""
+    """At most ``ROWS_A_LANGUAGE`` (in expectation, half as many again at most) labelled rows of each
+    language, chosen by a hash of the text: one aggregate and one scan, no shuffle of texts, so a hot language costs
+    no more than another."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()
     if not counts:
         return [], []
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, ROWS_A_LANGUAGE / n)))])
@@ -244,21 +272,22 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         return pd.DataFrame({"lang": names[best], "score": score, "rejected": rejected})
 
-    guessed = "__guess"
-    while guessed in docs.columns:
-        guessed += "_"
+    (guessed,) = fresh(docs, "guess")
     out = docs.withColumn(guessed, guess(F.col(text_col).cast("string")))
     new = {lang_name: "lang", score_name: "score", rejected_name: "rejected"}
     return out.select(*[docs[c] for c in docs.columns if c not in new], *[out[guessed][field].alias(name) for name, field in new.items()])
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is recognised; the model learns from all labelled rows' sample.  Columns stay."""
+    """The documents whose language is recognised; the model learns from all labelled rows' sample.  Columns stay.
+
+    Null texts and those without a letter go, rows that repeat go or stay alike, very long texts are read whole, and an
+    empty table gives no rows.  Where no row has both a text and a language nothing is known, and all rows stay."""
     model = fit_languages(docs, id_col, text_col, lang_col)
     if model is None:
-        return docs.limit(0)
-    out = identify(docs, model, text_col, "__lang", "__score", "__rejected")
-    return out.where(~F.col("__rejected")).drop("__lang", "__score", "__rejected")
+        return docs
+    lang, score, rejected = fresh(docs, "lang", "score", "rejected")
+    return identify(docs, model, text_col, lang, score, rejected).where(~F.col(rejected)).drop(lang, score, rejected)
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
