@@ -139,21 +139,23 @@ def classify_sets(items: DataFrame, key: str, item: str, kinds: DataFrame, overr
     return out.join(overrides.select(key, F.col("class").alias("__o")), key, "left").select(key, F.coalesce("__o", "class").alias("class"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, community) by weighted label propagation on edges (a, b, w); ties go to the smallest label.  A round
     counts as settled when no label moves; labels are updated in alternating halves of the nodes, so pairs cannot
-    swap for ever."""
+    swap for ever.  The result is stable: both halves are quiet one after the other; RuntimeError if ``rounds`` of
+    both do not reach that."""
     from weftline.scratch import materialise
 
     both = materialise(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     now = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    still = 0
     for r in range(2 * rounds):
         votes = both.join(now.withColumnsRenamed({"node": "b"}), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("x")).select(F.col("a").alias("node"), F.col("x.community").alias("new"))
         half = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
         step = materialise(now.join(best, "node").select("node", F.when(half, F.col("new")).otherwise(F.col("community")).alias("community"), (half & (F.col("new") != F.col("community"))).alias("moved")))
-        quiet = step.where("moved").isEmpty()
+        still = still + 1 if step.where("moved").isEmpty() else 0
         now = step.select("node", "community")
-        if quiet and r % 2:
-            break
-    return now
+        if still == 2:
+            return now
+    raise RuntimeError("labels did not settle")

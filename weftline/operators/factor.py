@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expressions import dot
 from weftline.operators.similarity import hungarian
+from weftline.scratch import materialise
 
 FLOOR = 1e-7
 
@@ -280,10 +281,29 @@ def mean_interval(values: list[float], level: float = 0.95) -> tuple[float, floa
     return m, m - half, m + half
 
 
+def _local_fronts(points: DataFrame, objectives: list[str]) -> DataFrame:
+    """Rows that no other row of their task's batch dominates; equal rows stay.  The rest can't be on the front."""
+
+    def work(frames):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        for frame in frames:
+            x = frame[objectives].to_numpy(dtype=float)
+            keep: list[int] = []
+            for i in np.lexsort(x.T[::-1]):  # who dominates a row stands before it
+                if not keep or not ((x[keep] <= x[i]).all(axis=1) & (x[keep] < x[i]).any(axis=1)).any():
+                    keep.append(i)
+            yield frame.iloc[sorted(keep)]
+
+    return points.mapInPandas(work, points.schema)
+
+
 def pareto_front(points: DataFrame, key: str, objectives: list[str]) -> DataFrame:
     """Rows no other row dominates (smaller is better), with ``knee``: distance to the ideal after min-max scaling.
 
-    ``points`` is an archive of fits, a few thousand rows at most: dominance has no equality to join on."""
+    Each task first keeps its own front, so that only those rows meet; a front is small beside its points."""
+    ends = points.agg(*[F.min(o).alias(f"__lo_{o}") for o in objectives], *[F.max(o).alias(f"__hi_{o}") for o in objectives])
+    points = materialise(_local_fronts(points, objectives))
     other = points.select(*[F.col(o).alias(f"__{o}") for o in objectives])
     no_worse = [F.col(f"__{o}") <= F.col(o) for o in objectives]
     better = [F.col(f"__{o}") < F.col(o) for o in objectives]
@@ -291,7 +311,6 @@ def pareto_front(points: DataFrame, key: str, objectives: list[str]) -> DataFram
     for a, b in zip(no_worse[1:], better[1:]):
         every, some = every & a, some | b
     front = points.join(other, every & some, "left_anti")
-    ends = points.agg(*[F.min(o).alias(f"__lo_{o}") for o in objectives], *[F.max(o).alias(f"__hi_{o}") for o in objectives])
     scaled = [F.when(F.col(f"__hi_{o}") > F.col(f"__lo_{o}"), (F.col(o) - F.col(f"__lo_{o}")) / (F.col(f"__hi_{o}") - F.col(f"__lo_{o}"))).otherwise(0.0) for o in objectives]
     knee = F.sqrt(sum((s * s for s in scaled[1:]), scaled[0] * scaled[0]))
     return front.crossJoin(F.broadcast(ends)).select(key, *objectives, knee.alias("knee"))

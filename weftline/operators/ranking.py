@@ -157,8 +157,13 @@ def empty_cells(ties: DataFrame, rows: DataFrame, n_cols: int, n: int, seed: int
     r = r.withColumn("free", F.lit(n_cols) - F.size("full"))
     total = r.agg(F.sum("free")).first()[0] or 0
     share = min(1.0, n / total) if total else 0.0
-    ranks = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("free") - 1, F.lit(0))))).where("free > 0")
-    ranks = ranks.where(F.pmod(F.xxhash64("row", "k", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    # a row draws its part of the ranks, the fraction by chance, and each draw lies in a stretch of its own: no rank
+    # that is not drawn is ever made
+    u = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = F.least(F.col("free"), (F.floor(F.col("free") * share) + (u(F.lit("n"), F.col("row")) < F.col("free") * share - F.floor(F.col("free") * share)).cast("int"))).cast("int")
+    ranks = r.withColumn("draws", wanted).where("draws > 0").withColumn("d", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
+    low, high = F.floor(F.col("d") * F.col("free") / F.col("draws")), F.floor((F.col("d") + 1) * F.col("free") / F.col("draws"))
+    ranks = ranks.withColumn("k", (low + F.floor(u(F.lit("k"), F.col("row"), F.col("d")) * (high - low))).cast("long"))
     # the rank moves up by one for every full column at or below it
     col = F.aggregate("full", F.col("k").cast("bigint"), lambda s, x: F.when(x <= s, s + 1).otherwise(s))
     return ranks.select("row", col.alias("col"))

@@ -130,7 +130,7 @@ def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col:
 
 def roll_up(units: DataFrame, parents: DataFrame, id_col: str, max_depth: int = 64) -> DataFrame:
     """(id, root): a unit follows its absorbing parents to their roots and merges only if all agree; else, and in a
-    cycle, it stays itself.  ``parents``: id, parent (absorbing ones only)."""
+    cycle, it stays itself.  ``parents``: id, parent (absorbing ones only); RuntimeError beyond ``max_depth``."""
     now = materialise(units.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct())
     links = parents.select(F.col(id_col).alias("id"), "parent").where("id <> parent").distinct()
     for _ in range(max_depth):
@@ -140,8 +140,19 @@ def roll_up(units: DataFrame, parents: DataFrame, id_col: str, max_depth: int =
         moved = new.where("root <> old").isEmpty()
         now = new.select("id", "root")
         if moved:
-            break
-    return now.select(F.col("id").alias(id_col), "root")
+            return now.select(F.col("id").alias(id_col), "root")
+    raise RuntimeError("the hierarchy is deeper than max_depth")
+
+
+def dense_ids(rows: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
+    """``rows`` numbered from 0 in the order of ``keys``, without a global window: a range sort gives each row its
+    place in its partition, and the partitions' counts give the offsets.  Keys that tie are numbered in any order."""
+    sorted_rows = rows.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
+    placed = materialise(sorted_rows.withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("long")).drop("__at", "__part", "__before")
 
 
 def stable_ids(clusters: DataFrame, old: DataFrame, member: str, cluster: str, old_id: str) -> DataFrame:
@@ -161,6 +172,6 @@ def stable_ids(clusters: DataFrame, old: DataFrame, member: str, cluster: str, o
         left = materialise(left.join(done.select(cluster), cluster, "left_anti").join(done.select(old_id), old_id, "left_anti"))
     kept = reduce(DataFrame.unionByName, got) if got else claims.select(cluster, old_id).limit(0)
     top = old.agg(F.coalesce(F.max(old_id), F.lit(0)).alias("top"))
-    fresh = sizes.select(cluster).join(kept.select(cluster), cluster, "left_anti").withColumn("r", F.row_number().over(W.orderBy(cluster)))
-    fresh = fresh.crossJoin(F.broadcast(top)).select(cluster, (F.col("top") + F.col("r")).alias("id"))
+    fresh = dense_ids(sizes.select(cluster).join(kept.select(cluster), cluster, "left_anti"), [cluster], "r")
+    fresh = fresh.crossJoin(F.broadcast(top)).select(cluster, (F.col("top") + F.col("r") + 1).alias("id"))
     return kept.select(cluster, F.col(old_id).cast("long").alias("id")).unionByName(fresh)

@@ -95,23 +95,36 @@ SELECT uid FROM a UNION SELECT f.uid FROM f JOIN a ON f.sid = a.sid AND f.l_line
 
 
 def works_by_title(spark, sf_dir: str) -> DataFrame:
-    """Benchmark items and openings of documents clustered as works by blocked title similarity."""
+    """Documents clustered as works by the similarity of their first lines, among those of one source."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    title = F.array_join(F.slice(tokens("text"), 1, 12), " ")
-    works = docs.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("doi"), F.col("lang").alias("author"), F.lit(2024).alias("year"), title.alias("title"))
+    title = F.array_join(tokens(F.split("text", "\n", 2)[0]), " ")
+    works = docs.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("doi"), F.coalesce("source", F.lit("-")).alias("author"), F.lit(2024).alias("year"), title.alias("title"))
     first = works.groupBy("author", "title").agg(F.min("id").alias("id"), F.min("doi").alias("doi"), F.min("year").alias("year"))
     return cluster_works(first.where("title <> ''").select("id", "doi", "author", "year", "title"))
 
 
+WORKS = """
+WITH RECURSIVE t AS (SELECT min(doc_id) AS id, author, title FROM (SELECT doc_id, coalesce(source, '-') AS author, array_to_string(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+'), ' ') AS title FROM documents WHERE text IS NOT NULL) WHERE title <> '' GROUP BY author, title),
+w AS (SELECT id, author, list_distinct(string_split(title, ' ')) AS ws FROM t),
+p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.author = b.author AND a.id < b.id WHERE len(list_intersect(a.ws, b.ws)) >= 0.6 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+edges AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach(a, b) USING KEY (a) AS (
+  SELECT a, a AS b FROM (SELECT DISTINCT a FROM edges)
+  UNION
+  SELECT e.a, min(r.b) AS b FROM edges e JOIN reach r ON e.b = r.a JOIN recurring.reach o ON o.a = e.a WHERE r.b < o.b GROUP BY e.a)
+SELECT id, coalesce(b, id) AS work FROM t LEFT JOIN reach ON a = id
+"""
+
+
 def generic_sets(spark, sf_dir: str) -> DataFrame:
     """Suppliers' part brands against a list of kinds: generic, ambiguous or substantive."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 46").select("l_orderkey", "p_brand").distinct()
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct()
     kinds = table(spark, sf_dir, "part").select("p_brand").distinct().where("p_brand < 'Brand#4'").select("p_brand", F.substring("p_brand", -2, 1).alias("kind"))
     return classify_sets(items, "l_orderkey", "p_brand", kinds)
 
 
 GENERIC = """
-WITH i AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 46), k AS (SELECT DISTINCT p_brand, substr(p_brand, length(p_brand) - 1, 1) AS kind FROM part WHERE p_brand < 'Brand#4')
+WITH i AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT DISTINCT p_brand, substr(p_brand, length(p_brand) - 1, 1) AS kind FROM part WHERE p_brand < 'Brand#4')
 SELECT l_orderkey, CASE WHEN count(*) FILTER (kind IS NULL) > 0 THEN 'substantive' WHEN count(DISTINCT kind) = 1 THEN 'generic' ELSE 'ambiguous' END AS class FROM i LEFT JOIN k USING (p_brand) GROUP BY 1
 """
 
@@ -120,7 +133,7 @@ def supplier_communities(spark, sf_dir: str) -> DataFrame:
     """Label propagation over strong ties of the supplier graph."""
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("end"), F.col("l_partkey").alias("middle")).agg(F.count("*").cast("double").alias("w"))
     strong = two_hops(e)
-    return label_propagation(strong.select("a", "b", "w"), 4)
+    return label_propagation(strong.select("a", "b", "w"))
 
 
 def merge_invariants(spark, sf_dir: str) -> DataFrame:
@@ -214,5 +227,6 @@ RECURRENCE = "SELECT item, round((count(*) - 1) / 29, 6) AS share FROM (SELECT D
 
 QUERIES = {f.__name__: f for f in (exclusion_list, companion_statements, rejected_terms, nonprose_kinds, blanked_lines, unit_survival, works_by_title, generic_sets, supplier_communities, merge_invariants, fold_weights, heldout_by_supplier, error_decomposition, placed_suppliers, arm_difference, harm_by_band, failure_recurrence)}
 ORACLES = {
+    "works_by_title": WORKS,
     "exclusion_list": EXCLUSIONS, "companion_statements": COMPANIONS, "rejected_terms": REJECTED, "nonprose_kinds": NONPROSE, "blanked_lines": BLANKED, "unit_survival": SURVIVAL, "generic_sets": GENERIC, "merge_invariants": INVARIANTS, "fold_weights": FOLDS, "heldout_by_supplier": HELDOUT, "error_decomposition": ERRORS, "placed_suppliers": PLACED, "arm_difference": ARMS, "harm_by_band": HARM, "failure_recurrence": RECURRENCE,
 }

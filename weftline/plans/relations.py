@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from weftline.functions.expressions import SECONDARY
 from weftline.operators.aggregate import banded, confusion, cooccurrence_table, damp, effective_number, missing_rows, modularity, pair_purity, partial_row_norm, persistence, quantiles, shared_credit, team_weight
 from weftline.operators.graph import connected_components
-from weftline.operators.relational import enough_evidence, exactly_one, fallback_join, longest_contained, newman_weights, only_new, roll_up, scoped_lookup, stable_ids, two_hops
+from weftline.operators.relational import dense_ids, enough_evidence, exactly_one, fallback_join, longest_contained, newman_weights, only_new, roll_up, scoped_lookup, stable_ids, two_hops
 from weftline.plans.common import r6, table
 
 
@@ -85,16 +85,16 @@ WHERE CASE WHEN names >= 5 THEN coalesce(common, 0) >= 2 AND places >= 1 ELSE co
 
 
 def components_by_keys(spark, sf_dir: str) -> DataFrame:
-    """Persons as components over shared keys: orders of one customer and one priority within a month share."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 < 3")
-    keys = F.array(F.concat(F.lit("c"), (F.col("o_custkey") % 997).cast("string")), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")))
+    """Orders as components over shared keys: those of a customer's month, and those of a day, priority and status."""
+    o = table(spark, sf_dir, "orders")
+    keys = F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "-yyyyMM")), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd"), "o_orderpriority", "o_orderstatus"))
     edges = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), F.explode(keys).alias("dst"))
     found = connected_components(edges)
     return found.where("node like 'o%'").groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("last"))
 
 
 COMPONENTS = """
-WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS o, unnest(['c' || (o_custkey % 997), 'd' || strftime(o_orderdate, '%Y%m%d')]) AS k FROM orders WHERE o_orderkey % 10 < 3),
+WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS o, unnest(['c' || o_custkey || strftime(o_orderdate, '-%Y%m'), 'd' || strftime(o_orderdate, '%Y%m%d') || o_orderpriority || o_orderstatus]) AS k FROM orders),
 edges AS (SELECT o AS a, k AS b FROM e UNION SELECT k, o FROM e),
 reach(a, b) USING KEY (a) AS (
   SELECT a, a AS b FROM (SELECT DISTINCT a FROM edges)
@@ -153,11 +153,24 @@ SCOPES = "SELECT CASE WHEN c_nationkey = 3 AND c_mktsegment < 'C' THEN 'own' WHE
 def stable_cluster_ids(spark, sf_dir: str) -> DataFrame:
     """New clusters of parts (by size and brand) keep the ids of the old clusters (by brand)."""
     p = table(spark, sf_dir, "part")
-    old = p.where("p_partkey % 4 <> 1").select("p_partkey", F.dense_rank().over(W.orderBy("p_brand")).alias("old"))
+    brands = dense_ids(p.select("p_brand").distinct(), ["p_brand"], "old").withColumn("old", F.col("old") + 1)
+    old = p.where("p_partkey % 4 <> 1").join(F.broadcast(brands), "p_brand").select("p_partkey", "old")
     new = p.select("p_partkey", F.concat_ws("|", "p_brand", (F.col("p_size") > 25).cast("string")).alias("cluster"))
     return stable_ids(new, old, "p_partkey", "cluster", "old").select("cluster", "id")
 
 
+STABLE = """
+WITH RECURSIVE b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS old FROM (SELECT DISTINCT p_brand FROM part)),
+p AS (SELECT p_partkey, p_brand || '|' || CAST(p_size > 25 AS VARCHAR) AS cluster, CASE WHEN p_partkey % 4 <> 1 THEN old END AS old FROM part JOIN b USING (p_brand)),
+c AS (SELECT cluster, list_sort(list_distinct(list(old) FILTER (old IS NOT NULL))) AS claims, row_number() OVER (ORDER BY count(*) DESC, cluster) AS r FROM p GROUP BY cluster),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS cluster, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT c.r, c.cluster, list_filter(c.claims, lambda x: NOT list_contains(g.taken, x))[1], list_concat(g.taken, list_filter(c.claims, lambda x: NOT list_contains(g.taken, x))[1:1]) FROM g JOIN c ON c.r = g.r + 1)
+SELECT cluster, CAST(coalesce(id, (SELECT max(old) FROM p) + row_number() OVER (PARTITION BY id IS NULL ORDER BY cluster)) AS BIGINT) AS id FROM g WHERE r > 0
+"""
+
+
 def name_in_text(spark, sf_dir: str) -> DataFrame:
     """The longest nation or segment name an order's text contains, if unique (text made of names)."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -317,6 +330,7 @@ DELTA = "SELECT o_orderkey, md5(o_custkey || '|' || o_orderstatus) AS digest FRO
 
 QUERIES = {f.__name__: f for f in (author_pairs_newman, two_hop_paths, exactly_one_match, evidence_links, components_by_keys, hierarchy_rollup, lookup_fallback, scope_precedence, stable_cluster_ids, name_in_text, purity_by_brand, entity_persistence, supplier_cooccurrence, organisation_shares, customers_without_orders, team_weights, damped_mass, band_summary, confusion_labels, quantile_summary, effective_parts, supplier_modularity, delta_rows)}
 ORACLES = {
+    "stable_cluster_ids": STABLE,
     "author_pairs_newman": NEWMAN, "two_hop_paths": TWO_HOPS, "exactly_one_match": EXACTLY_ONE, "evidence_links": EVIDENCE, "components_by_keys": COMPONENTS, "hierarchy_rollup": ROLLUP, "lookup_fallback": FALLBACK, "scope_precedence": SCOPES, "name_in_text": NAMES, "purity_by_brand": PURITY, "entity_persistence": PERSISTENCE,
     "supplier_cooccurrence": COOCCURRENCE, "organisation_shares": SHARES, "customers_without_orders": MISSING, "team_weights": TEAMS, "damped_mass": DAMPED, "band_summary": BANDS, "confusion_labels": CONFUSION, "quantile_summary": QUANTILES, "effective_parts": EFFECTIVE, "supplier_modularity": MODULARITY, "delta_rows": DELTA,
 }

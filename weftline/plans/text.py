@@ -301,22 +301,24 @@ def stratified_by_language(spark, sf_dir: str) -> DataFrame:
 STRATIFIED = "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|s1'), doc_id) AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE r <= 20"
 
 
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+
+
 def title_distance(spark, sf_dir: str) -> DataFrame:
-    """Documents of equal first word whose opening lines differ by at most 30 % edits: blocked Levenshtein ratio
-    between distinct openings."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    first = docs.select("doc_id", F.array_join(tokens(F.split("text", "\n", 2)[0]), " ").alias("t")).where("length(t) between 20 and 120").groupBy("t").agg(F.min("doc_id").alias("i"))
-    keyed = first.withColumn("k", F.concat_ws(" ", F.slice(tokens("t"), 1, 2)))
+    """Distinct page titles of equal first word that differ by at most 30 % edits; lengths that far apart never meet."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.array_join(tokens(F.regexp_extract("html", TITLE, 1)), " ").alias("t"))
+    first = pages.where("t <> ''").groupBy("t").agg(F.min("page_id").alias("i"))
+    keyed = first.withColumn("k", F.substring_index("t", " ", 1)).withColumn("n", F.length("t"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i")))
-    ratio = F.levenshtein("a.t", "b.t") / F.greatest(F.length("a.t"), F.length("b.t"))
+    near = F.least("a.n", "b.n") >= 0.7 * F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i")) & near)
+    ratio = F.levenshtein("a.t", "b.t") / F.greatest("a.n", "b.n")
     return pairs.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), r6(ratio).alias("ratio")).where("ratio <= 0.3")
 
 
 TITLES_NEAR = f"""
-WITH f AS (SELECT min(doc_id) AS i, t FROM (SELECT doc_id, array_to_string(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+'), ' ') AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) BETWEEN 20 AND 120 GROUP BY t),
-k AS (SELECT i, t, array_to_string(regexp_extract_all(t, '[a-z0-9]+')[1:2], ' ') AS k FROM f)
-SELECT a.i, b.i AS j, round(levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS ratio FROM k a JOIN k b ON a.k = b.k AND a.i < b.i WHERE levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) <= 0.3
+WITH f AS (SELECT min(page_id) AS i, t FROM (SELECT page_id, array_to_string(regexp_extract_all(lower(regexp_extract(html, '{TITLE}', 1)), '[a-z0-9]+'), ' ') AS t FROM pages WHERE html IS NOT NULL) WHERE t <> '' GROUP BY t)
+SELECT a.i, b.i AS j, round(levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS ratio FROM f a JOIN f b ON split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1) AND a.i < b.i WHERE levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) <= 0.3
 """
 
 
