@@ -276,3 +276,99 @@ def stratified_null(rows: DataFrame, key: str, value: str, strata: list[str], st
     return per.groupBy(*by).agg(F.avg("__s").alias("mean"), F.expr("percentile(__s, 0.95)").alias("p95"))
 
 
+
+
+def symbols(text: Column) -> Column:
+    """Symbols that a sentence introduces: where x is, let x be, here x denotes, x and y denote."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:where|let|here|and)\s+([a-zA-Z][a-zA-Z0-9_]{0,2})\s+(?:is|be|are|denotes?|represents?)\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(found))
+
+
+def baseline_measures(ties: DataFrame) -> DataFrame:
+    """(row, coverage, accuracy): how much of a row's mass the degree-only model (row total times column share) covers, and
+    how much of what it predicts at the row's ties is there.  ``ties``: row, col, v."""
+    whole = ties.agg(F.sum("v").alias("__all"))
+    r, c = ties.groupBy("row").agg(F.sum("v").alias("__r")), ties.groupBy("col").agg(F.sum("v").alias("__c"))
+    t = ties.join(r, "row").join(c, "col").crossJoin(F.broadcast(whole)).withColumn("x", F.col("__r") * F.col("__c") / F.col("__all"))
+    met = F.sum(F.least("v", "x"))
+    return t.groupBy("row").agg((met / F.sum("v")).alias("coverage"), (met / F.sum("x")).alias("accuracy"))
+
+
+def community_penalties(places: DataFrame, presence: DataFrame) -> DataFrame:
+    """One row: ``collapse`` (share of entities whose largest membership is the commonest one), ``effective`` (effective
+    number of communities by those) and ``imbalance`` (half the summed difference of two domains' shares).
+
+    ``places``: entity, k, p; ``presence``: domain (two values), k, p as shares of the domain."""
+    first = places.groupBy("entity").agg(F.max(F.struct("p", (-F.col("k")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.col("__all")
+    one = first.crossJoin(F.broadcast(first.agg(F.sum("n").alias("__all")))).agg(F.max(share).alias("collapse"), F.exp(-F.sum(share * F.log(share))).alias("effective"))
+    gap = presence.groupBy("k").agg(F.abs(F.max(F.struct("domain", "p"))["p"] - F.when(F.count("*") > 1, F.min(F.struct("domain", "p"))["p"]).otherwise(0.0)).alias("d"))
+    return one.crossJoin(gap.agg((F.sum("d") / 2).alias("imbalance")))
+
+
+def match_slices(old: DataFrame, new: DataFrame, replicates: int = 20, seed: str = "slices", level: float = 0.95) -> list[tuple[int, int, float]]:
+    """(old k, new k, z) of the communities of two slices that go on: overlaps of entities as z-scores against deals of the
+    new communities over its entities, the best one-to-one matching of these, and of it the pairs above the
+    ``level`` quantile of matched z-scores of the deals.
+
+    ``old``, ``new``: entity, k.  Counts are aggregates; only K x K tables reach the driver."""
+    import numpy as np
+
+    from weftline.operators.similarity import hungarian
+
+    w = W.partitionBy("__rep")
+    many = new.withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # the deal of number 0 leaves all as it is; entities are spread over hash blocks, so no deal is one task's work
+    block = F.pmod(F.xxhash64("entity"), F.lit(64))
+    w = W.partitionBy("__rep", "__block")
+    many = many.withColumn("__block", block)
+    order = F.when(F.col("__rep") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("|", F.lit(seed), F.col("__rep").cast("string"), F.col("entity").cast("string"))))
+    a = many.withColumn("__i", F.row_number().over(w.orderBy("entity"))).select("__rep", "__block", "__i", "entity")
+    b = many.withColumn("__i", F.row_number().over(w.orderBy(order, "entity"))).select("__rep", "__block", "__i", F.col("k").alias("l"))
+    dealt = a.join(b, ["__rep", "__block", "__i"])
+    got = dealt.join(old.select("entity", "k"), "entity").groupBy("__rep", "k", "l").agg(F.count("*").alias("n")).collect()
+    ks, ls = sorted({r["k"] for r in got}), sorted({r["l"] for r in got})
+    if not ks:
+        return []
+    n = np.zeros((replicates + 1, len(ks), len(ls)))
+    for r in got:
+        n[r["__rep"], ks.index(r["k"]), ls.index(r["l"])] = r["n"]
+    mean, sd = n[1:].mean(axis=0), n[1:].std(axis=0) + 1e-9
+    z = (n - mean) / np.maximum(sd, 0.5)
+    matched = lambda m: hungarian([[-x for x in row] for row in m.tolist()])
+    null = [m[i, j] for m in z[1:] for i, j in matched(m)]
+    least = float(np.quantile(null, level))
+    return [(ks[i], ls[j], float(z[0, i, j])) for i, j in matched(z[0]) if z[0, i, j] > least]
+
+
+def start_core(k: int, kind: str, level: float = 0.1, seed: int = 0) -> list[list[float]]:
+    """A k x k core to start a fit from: ``diagonal`` links, the same with ``level`` of the mass off the diagonal, or
+    ``random``; rows sum to 1."""
+    import numpy as np
+
+    if kind == "random":
+        z = np.random.default_rng(seed).random((k, k)) + 1e-7
+    elif kind == "diagonal" or k == 1:
+        z = np.eye(k)
+    elif kind == "offdiagonal":
+        z = np.full((k, k), level / (k - 1))
+        np.fill_diagonal(z, 1 - level)
+    else:
+        raise ValueError(kind)
+    return (z / z.sum(axis=1, keepdims=True)).tolist()
+
+
+def anchors(ties: DataFrame, key: str, share: float, seed: str) -> DataFrame:
+    """The ties of a share of the entities, drawn by hash: what a start is computed from."""
+    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return ties.where(u < share)
+
+
+def logistic(rows: DataFrame, label: str, features: list[str], reg: float = 0.0) -> DataFrame:
+    """(name, coefficient) of a logistic regression, the intercept first; distributed by the ML library."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.select(F.col(label).cast("double").alias("__y"), *features))
+    fit = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=reg, maxIter=100, tol=1e-9).fit(ready)
+    return rows.sparkSession.createDataFrame([("intercept", float(fit.intercept)), *((f, float(c)) for f, c in zip(features, fit.coefficients))], "name string, coefficient double")

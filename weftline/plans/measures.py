@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import day_of, masked, rewrite, tokens
-from weftline.functions.names import name_similarity
-from weftline.operators import aggregate, curation, measures
+from weftline.functions.names import fold, name_key, name_similarity, text_udf, token_spans
+from weftline.operators import aggregate, curation, measures, related
+from weftline.operators.graph import connected_components
+from weftline.operators.ranking import spearman
 from weftline.operators.relational import dense_ids
 from weftline.operators.similarity import prefix_pairs, weighted_jaccard, weighted_tokens
 from weftline.plans.common import r6, table
-from weftline.plans.text import SETS, document_sets
-from weftline.scratch import materialise
+from weftline.plans.text import NEAR_DUP, SETS, document_sets, near_dup_knn_ties
+from weftline.scratch import materialise, reserve
+from weftline.sources.records import load_matrix, parsed_byline, save_matrix
 
 
 def near_dup_side_ties(spark, sf_dir: str) -> DataFrame:
@@ -491,11 +494,208 @@ h AS (SELECT role, regexp_extract_all(lower(regexp_extract(t, '^([^:]{1,120}):',
 SELECT role, count(*) AS n, count(*) FILTER (len(h) BETWEEN 1 AND 8 AND len(list_filter(h, lambda x: x NOT IN ('short', 'answer', 'the'))) = 0) AS labelled FROM h GROUP BY role
 """
 
+
+def near_dup_components(spark, sf_dir: str) -> DataFrame:
+    """Components of the flagship's similarity graph."""
+    ties = near_dup_knn_ties(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    return connected_components(ties).groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("last"))
+
+
+SIMILAR_COMPONENTS = f"""
+WITH RECURSIVE ties AS ({NEAR_DUP}), edges AS (SELECT i AS a, j AS b FROM ties UNION SELECT j, i FROM ties),
+reach(a, b) USING KEY (a) AS (
+  SELECT a, a AS b FROM (SELECT DISTINCT a FROM edges)
+  UNION
+  SELECT e.a, min(r.b) AS b FROM edges e JOIN reach r ON e.b = r.a JOIN recurring.reach o ON o.a = e.a WHERE r.b < o.b GROUP BY e.a)
+SELECT b AS component, count(*) AS n, max(a) AS last FROM reach GROUP BY b
+"""
+
+
+def basket_sets(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as sets of words (sizes of their parts) and names (types of their parts), and the names related by line."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("w"), "p_size").alias("w"), F.lower(F.regexp_replace("p_type", " ", "_")).alias("name"))
+    li = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    sets = li.select(F.col("l_orderkey").alias("i"), F.explode(F.array("w", "name")).alias("token")).distinct()
+    names = p.select("name", F.regexp_replace("name", "_[^_]*$", "").alias("block")).distinct()
+    return sets, related.related_names(names, lambda a, b: name_similarity(a, b, frozenset(TIERS)))
+
+
+def related_baskets(spark, sf_dir: str) -> DataFrame:
+    """Orders whose parts are alike, types of one line counting in part."""
+    sets, ties = basket_sets(spark, sf_dir)
+    return related.similar_related(sets, ties, 0.6).select("i", "j", r6("sim").alias("sim"))
+
+
+def aligned_parts(spark, sf_dir: str) -> DataFrame:
+    """The part keys of an order against the same list without its every third item: where each finds its partner."""
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").groupBy("l_orderkey").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))).alias("a"))
+    lists = own.withColumn("b", F.filter("a", lambda x, i: i % 3 != 2))
+    return related.aligned_labels(lists, "l_orderkey", "a", "b", lambda x, y: x == y).withColumn("partner", F.coalesce("partner", F.lit(-1)))
+
+
+ALIGNED = """
+WITH o AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l FROM lineitem GROUP BY 1, 2),
+r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l, l_partkey) - 1 AS place FROM o)
+SELECT l_orderkey, CAST(place AS INTEGER) AS place, CAST(CASE WHEN place % 3 <> 2 THEN place - place // 3 ELSE -1 END AS INTEGER) AS partner FROM r
+"""
+
+
+def record_bylines(spark, sf_dir: str) -> DataFrame:
+    """Orders as records in XML, of contributors or author lists by turns, read back as authors."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("orcid", F.format_string("0000-0000-0000-%04d", (F.col("c_custkey") % 10000).cast("int")))
+    jats = F.concat(F.lit('<article><front><contrib-group><contrib contrib-type="author"><contrib-id contrib-id-type="orcid">https://orcid.org/'), "orcid", F.lit("</contrib-id><name><surname>"), "c_name", F.lit('</surname><given-names>A &amp; B</given-names></name><xref ref-type="aff" rid="a1"/></contrib><contrib contrib-type="editor"><name><surname>E</surname></name></contrib></contrib-group><aff id="a1">'), "n_name", F.lit("</aff></front></article>"))
+    listed = F.concat(F.lit("<PubmedArticle><AuthorList><Author><LastName>"), "c_name", F.lit('</LastName><ForeName>C</ForeName><Identifier Source="ORCID">'), "orcid", F.lit("</Identifier><AffiliationInfo><Affiliation>"), "n_name", F.lit("</Affiliation></AffiliationInfo></Author><Author><CollectiveName>G</CollectiveName></Author></AuthorList></PubmedArticle>"))
+    xml = F.when(F.col("o_orderkey") % 5 == 0, F.lit("<broken")).when(F.col("o_orderkey") % 2 == 0, jats).otherwise(listed)
+    return o.select("o_orderkey", F.explode(parsed_byline(xml)).alias("b")).select("o_orderkey", "b.pos", "b.last", "b.fore", "b.orcid", F.array_join("b.affiliations", ";").alias("places"))
+
+
+BYLINES = """
+WITH o AS (SELECT o_orderkey, c_name, n_name, format('0000-0000-0000-{:04d}', c_custkey % 10000) AS orcid FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 <> 0)
+SELECT o_orderkey, 1 AS pos, c_name AS last, CASE WHEN o_orderkey % 2 = 0 THEN 'A & B' ELSE 'C' END AS fore, orcid, n_name AS places FROM o
+UNION ALL SELECT o_orderkey, 2, NULL, NULL, NULL, '' FROM o WHERE o_orderkey % 2 <> 0
+"""
+
+
+def stored_relation(spark, sf_dir: str) -> DataFrame:
+    """Two relations written to a matrix store and one of them read back."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = [li.groupBy(F.lit(n).alias("relation"), F.col("l_partkey").alias("row"), F.col(c).cast("long").alias("col")).agg(F.sum("l_quantity").alias("value")) for n, c in (("part_supplier", "l_suppkey"), ("part_line", "l_linenumber"))]
+    path = reserve(spark)
+    save_matrix(rows[0].unionByName(rows[1]), path)
+    return load_matrix(spark, path, "part_supplier").groupBy("col").agg(F.count("*").alias("ties"), F.sum("value").alias("value"))
+
+
+STORED = "SELECT c AS col, count(*) AS ties, sum(v) AS value FROM (SELECT l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1"
+
+
+def baseline_coverage(spark, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("v"))
+    return measures.baseline_measures(t).select("row", r6("coverage").alias("coverage"), r6("accuracy").alias("accuracy"))
+
+
+BASELINE = """
+WITH t AS (SELECT l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+x AS (SELECT r, v, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) / sum(v) OVER () AS x FROM t)
+SELECT r AS row, round(sum(least(v, x)) / sum(v), 6) AS coverage, round(sum(least(v, x)) / sum(x), 6) AS accuracy FROM x GROUP BY r
+"""
+
+
+def flag_penalties(spark, sf_dir: str) -> DataFrame:
+    """Suppliers' and parts' flags as communities of two domains: collapse, effective number and imbalance."""
+    m = memberships(spark, sf_dir)
+    places = m.where("facet = 'part'").select("entity", "k", F.col("u").alias("p"))
+    whole = m.groupBy("facet").agg(F.sum("u").alias("all"))
+    presence = m.groupBy("facet", "k").agg(F.sum("u").alias("s")).join(whole, "facet").select(F.col("facet").alias("domain"), "k", (F.col("s") / F.col("all")).alias("p"))
+    out = measures.community_penalties(places, presence)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+PENALTIES = f"""
+WITH {MEMBERSHIPS}, f AS (SELECT entity, arg_max(k, (u, -k)) AS k FROM u WHERE facet = 'part' GROUP BY 1), n AS (SELECT k, count(*) / sum(count(*)) OVER () AS s FROM f GROUP BY k),
+d AS (SELECT facet, k, sum(u) / sum(sum(u)) OVER (PARTITION BY facet) AS p FROM u GROUP BY facet, k),
+g AS (SELECT abs(coalesce(sum(p) FILTER (facet = 'part'), 0) - coalesce(sum(p) FILTER (facet = 'supplier'), 0)) AS d FROM d GROUP BY k)
+SELECT round((SELECT max(s) FROM n), 6) AS collapse, round((SELECT exp(-sum(s * ln(s))) FROM n), 6) AS effective, round((SELECT sum(d) / 2 FROM g), 6) AS imbalance
+"""
+
+
+def introduced_symbols(spark, sf_dir: str) -> DataFrame:
+    """Turns with a definition put before them: the symbols they introduce."""
+    t = table(spark, sf_dir, "conversations").select("role", F.concat(F.lit("Where "), F.substring(F.lit("abcdefg"), (F.col("turn") % 7 + 1).cast("int"), F.lit(1)), F.when(F.col("turn") % 2 == 0, " is the rate and q denotes time. ").otherwise(" was. "), F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("role", F.explode(measures.symbols(F.col("t"))).alias("symbol")).groupBy("role", "symbol").agg(F.count("*").alias("n"))
+
+
+SYMBOLS = r"""
+WITH t AS (SELECT role, 'Where ' || substr('abcdefg', CAST(turn % 7 + 1 AS INTEGER), 1) || CASE WHEN turn % 2 = 0 THEN ' is the rate and q denotes time. ' ELSE ' was. ' END || coalesce(text, '') AS t FROM conversations),
+s AS (SELECT role, unnest(list_distinct(regexp_extract_all(t, '(?i)\b(?:where|let|here|and)\s+([a-zA-Z][a-zA-Z0-9_]{0,2})\s+(?:is|be|are|denotes?|represents?)\b', 1))) AS symbol FROM t)
+SELECT role, symbol, count(*) AS n FROM s GROUP BY 1, 2
+"""
+
+
+def yearly_spearman(spark, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
+    return spearman(o.join(li, "o_orderkey"), ["year"], "o_totalprice", "q").select("year", F.round("rho", 5).alias("rho"))
+
+
+YEARLY_RHO = """
+WITH q AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1), j AS (SELECT year(o_orderdate) AS y, o_totalprice AS p, q FROM orders JOIN q USING (o_orderkey)),
+r AS (SELECT y, rank() OVER (PARTITION BY y ORDER BY p) + (count(*) OVER (PARTITION BY y, p) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY y ORDER BY q) + (count(*) OVER (PARTITION BY y, q) - 1) / 2.0::DOUBLE AS b FROM j)
+SELECT CAST(y AS INTEGER) AS year, round(corr(a, b), 5) AS rho FROM r GROUP BY y
+"""
+
+
+def folded_words(spark, sf_dir: str) -> DataFrame:
+    """Distinct words with letters beyond ASCII that folding makes plain."""
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower("text"), "[ \n]")).alias("w")).distinct()
+    return w.withColumn("f", text_udf(fold)(F.col("w"))).groupBy("lang").agg(F.count("*").alias("words"), F.countDistinct("f").alias("folded"), F.count_if(F.col("f") != F.col("w")).alias("changed"))
+
+
+FOLDED = "WITH w AS (SELECT DISTINCT lang, unnest(regexp_split_to_array(lower(text), '[ \n]')) AS w FROM documents), f AS (SELECT lang, w, replace(replace(replace(strip_accents(w), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS f FROM w) SELECT lang, count(*) AS words, count(DISTINCT f) AS folded, count(*) FILTER (f <> w) AS changed FROM f GROUP BY lang"
+
+
+def name_keys(spark, sf_dir: str) -> DataFrame:
+    """Keys of invented names: the first given name of two letters or more counts, initials do not."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    names = s.select(F.concat_ws("|", F.initcap("n_name"), F.when(F.col("s_suppkey") % 3 == 0, "J. Marie").when(F.col("s_suppkey") % 3 == 1, "A B").otherwise("Zoé-Ann")).alias("n"))
+    key = text_udf(lambda x: name_key(*x.split("|")))
+    return names.groupBy(key(F.col("n")).alias("key")).agg(F.count("*").alias("n"))
+
+
+NAME_KEYS = "SELECT CASE s_suppkey % 3 WHEN 1 THEN NULL ELSE regexp_replace(lower(n_name), '[^a-z]', '', 'g') || '|' || CASE s_suppkey % 3 WHEN 0 THEN 'marie' ELSE 'zoe' END END AS key, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"
+
+
+def token_places(spark, sf_dir: str) -> DataFrame:
+    """Where the first two words of a turn stand in it."""
+
+    @F.pandas_udf("array<int>")
+    def spans(text):  # noqa: ANN001, ANN202
+        return text.map(lambda t: [x for s in token_spans(t, t.split()[:2]) for x in (s or ())] if isinstance(t, str) else None)
+
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", spans("text").alias("s"))
+    return t.where("size(s) = 4").select("conv_id", "turn", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"), F.col("s")[2].alias("c"), F.col("s")[3].alias("d"))
+
+
+PLACES_OF = r"""
+WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(text, '\S+') AS w FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT *, strpos(text, w[1]) - 1 AS a FROM t WHERE len(w) >= 2), q AS (SELECT *, a + length(w[1]) AS b FROM p)
+SELECT conv_id, turn, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(b + strpos(substr(text, CAST(b + 1 AS INTEGER)), w[2]) - 1 AS INTEGER) AS c, CAST(b + strpos(substr(text, CAST(b + 1 AS INTEGER)), w[2]) - 1 + length(w[2]) AS INTEGER) AS d FROM q
+"""
+
+
+def hub_types(spark, sf_dir: str) -> DataFrame:
+    """Part types written as hub tokens that hold a listed family and a signal."""
+    token = F.regexp_replace("p_type", " ", "/")
+    return table(spark, sf_dir, "part").groupBy(curation.hub_spelling(token, ["promo", "small"], ["plated", "tin"]).alias("hub")).agg(F.count("*").alias("n"))
+
+
+HUBS = "SELECT list_has_any(string_split(lower(p_type), ' '), ['promo', 'small']) AND list_has_any(string_split(lower(p_type), ' '), ['plated', 'tin']) AS hub, count(*) AS n FROM part GROUP BY 1"
+
+
+def price_clusters(spark, sf_dir: str) -> DataFrame:
+    """A brand's parts in key order join the first cluster whose first member's price is within a tenth."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    out = curation.greedy_clusters(p, "p_brand", "p_partkey", ["p_size"], lambda a, b: abs(a[0] - b[0]) <= 10, "p_brand string, p_partkey long")
+    return out.select("p_brand", "p_partkey", "cluster")
+
+
+CLUSTERS = """
+WITH RECURSIVE p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+g AS (
+  SELECT p_brand, p_partkey, r, 0 AS cluster, [p_size] AS firsts FROM p WHERE r = 1
+  UNION ALL
+  SELECT p.p_brand, p.p_partkey, p.r, CAST(coalesce(list_position(list_transform(g.firsts, lambda x: abs(x - p.p_size) <= 10), true), len(g.firsts) + 1) - 1 AS INTEGER),
+    CASE WHEN list_position(list_transform(g.firsts, lambda x: abs(x - p.p_size) <= 10), true) IS NULL THEN list_append(g.firsts, p.p_size) ELSE g.firsts END FROM g JOIN p ON p.p_brand = g.p_brand AND p.r = g.r + 1)
+SELECT p_brand, p_partkey, cluster FROM g
+"""
+
 _PAIRS = (
     (near_dup_side_ties, SIDE_TIES), (persistence_weighted, PERSISTENCE_WEIGHTED), (yearly_shares, YEARLY), (eligible_orders, ELIGIBLE), (order_tag_classes, TAG_CLASSES), (disclosure_lines, DISCLOSURE), (canonical_types, CANONICAL), (name_ladder, LADDER),
     (unlisted_names, UNLISTED), (shipping_delays, DELAYS), (dense_part_ids, DENSE), (first_articles, FIRST), (lineage_tops, LINEAGE), (part_hops, HOPS), (trade_partition, PARTITION), (weighted_loss, LOSS), (membership_weights, MEMBERSHIP_WEIGHTS), (weighted_places, PLACES),
     (weak_brands, WEAK), (source_concentration, CONCENTRATION), (benchmark_typed_forms, TYPED), (price_equivalence, EQUIVALENCE), (chosen_size, CHOSEN), (broken_links, BROKEN), (text_audit, AUDITED), (order_shards, SHARDS), (spearman_three_covariates, SPEARMAN_THREE), (membership_null, NULLS),
     (majority_labels, MAJORITY), (void_repeats, VOID), (relation_norm, NORM), (parsed_dates, DATES), (masked_tokens, MASKED), (valid_orders, VALID), (labelled_lines, LABELLED),
+    (near_dup_components, SIMILAR_COMPONENTS), (aligned_parts, ALIGNED), (record_bylines, BYLINES), (stored_relation, STORED), (baseline_coverage, BASELINE), (flag_penalties, PENALTIES), (introduced_symbols, SYMBOLS), (yearly_spearman, YEARLY_RHO), (folded_words, FOLDED),
+    (name_keys, NAME_KEYS), (token_places, PLACES_OF), (hub_types, HUBS), (price_clusters, CLUSTERS), (related_baskets, None),
 )
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
-ORACLES = {f.__name__: sql for f, sql in _PAIRS}
+ORACLES = {f.__name__: sql for f, sql in _PAIRS if sql}
