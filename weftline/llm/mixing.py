@@ -21,6 +21,8 @@ from weftline.scratch import attach, discard, materialise, small_enough
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, "mix-1"
+#: Lower bits of a hash: places are found among the 4,096 stretches of the upper bits, then inside one stretch.
+LOWER = 20
 
 
 def n_words(text: str) -> Column:
@@ -88,15 +90,15 @@ def arcs(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     state = state.withColumn("stop", F.col("begin") + F.col("target") - F.col("whole") * F.col("source_size"))
     state = materialise(state.withColumn("wraps", F.col("stop") >= total).withColumn("stop", F.when(F.col("stop") >= total, F.col("stop") - total).otherwise(F.col("stop"))))
     points = state.where("source_size > 0").select("key", F.explode(F.create_map(F.lit("low"), "begin", F.lit("high"), "stop")).alias("which", "p"))
-    upper = sized.groupBy("key", F.shiftright("h", 16).alias("b")).agg(F.sum("size").alias("n"))
+    upper = sized.groupBy("key", F.shiftright("h", LOWER).alias("b")).agg(F.sum("size").alias("n"))
     upper = materialise(upper.withColumn("upto", F.sum("n").over(W.partitionBy("key").orderBy("b"))))
     hint = F.broadcast if small_enough(points) else lambda df: df
     hit = upper.join(hint(points), "key").where("upto - n <= p and p < upto").select("key", "which", "p", "b", (F.col("upto") - F.col("n")).alias("before"))
     hit = materialise(hit)
     hint = F.broadcast if small_enough(hit) else lambda df: df
-    lower = sized.withColumn("b", F.shiftright("h", 16)).join(hint(hit), ["key", "b"]).groupBy("key", "which", "p", "b", "before", "h").agg(F.sum("size").alias("n"))
+    lower = sized.withColumn("b", F.shiftright("h", LOWER)).join(hint(hit), ["key", "b"]).groupBy("key", "which", "p", "b", "before", "h").agg(F.sum("size").alias("n"))
     middle = F.col("before") + F.sum("n").over(W.partitionBy("key", "which").orderBy("h")) - F.col("n") / 2
-    at = F.coalesce(F.min(F.when(F.col("middle") >= F.col("p"), F.col("h"))), (F.max("b") + 1) * 65536)
+    at = F.coalesce(F.min(F.when(F.col("middle") >= F.col("p"), F.col("h"))), (F.max("b") + 1) * (1 << LOWER))
     ends = lower.withColumn("middle", middle).groupBy("key", "which").agg(at.alias("at"))
     ends = ends.groupBy("key").agg(F.max(F.when(F.col("which") == "low", F.col("at"))).alias("low"), F.max(F.when(F.col("which") == "high", F.col("at"))).alias("high"))
     out = materialise(state.select("key", "source_size", "target", "whole", "wraps").join(ends, "key", "left"))
