@@ -129,18 +129,25 @@ def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col:
 
 
 def roll_up(units: DataFrame, parents: DataFrame, id_col: str, max_depth: int = 64) -> DataFrame:
-    """(id, root): a unit follows its absorbing parents to their roots and merges only if all agree; else, and in a
-    cycle, it stays itself.  ``parents``: id, parent (absorbing ones only); RuntimeError beyond ``max_depth``."""
-    now = materialise(units.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct())
-    links = parents.select(F.col(id_col).alias("id"), "parent").where("id <> parent").distinct()
-    for _ in range(max_depth):
-        up = links.join(now.select(F.col("id").alias("parent"), F.col("root").alias("top")), "parent").groupBy("id").agg(F.countDistinct("top").alias("n"), F.min("top").alias("top"))
-        new = now.join(up, "id", "left").select("id", F.when((F.col("n") == 1) & (F.col("top") != F.col("id")), F.col("top")).otherwise(F.col("id")).alias("root"), F.col("root").alias("old"))
+    """(id, root): a unit follows its absorbing parents to their roots and merges only if all agree; else it stays itself,
+    and so do units of a cycle and those below one.  ``parents``: id, parent (absorbing ones only; parents that are no
+    units do not count).
+
+    Units are settled from the top, a level a round: those all of whose parents are.  RuntimeError if ``max_depth`` levels
+    do not settle all that can be."""
+    every = materialise(units.select(F.col(id_col).alias("id")).distinct())
+    links = parents.select(F.col(id_col).alias("id"), "parent").where("id <> parent").distinct().join(every.select(F.col("id").alias("parent")), "parent", "left_semi")
+    links = materialise(links)
+    wanted = links.groupBy("id").agg(F.count("*").alias("wanted"))
+    now = materialise(every.join(links, "id", "left_anti").withColumn("root", F.col("id")))
+    for _ in range(max_depth + 1):
+        up = links.join(now.select(F.col("id").alias("parent"), F.col("root").alias("top")), "parent").groupBy("id").agg(F.count("*").alias("have"), F.countDistinct("top").alias("n"), F.min("top").alias("top"))
+        new = up.join(wanted, "id").where("have = wanted").join(now, "id", "left_anti").select("id", F.when(F.col("n") == 1, F.col("top")).otherwise(F.col("id")).alias("root"))
         new = materialise(new)
-        moved = new.where("root <> old").isEmpty()
-        now = new.select("id", "root")
-        if moved:
-            return now.select(F.col("id").alias(id_col), "root")
+        if new.isEmpty():
+            rest = every.join(now, "id", "left_anti").withColumn("root", F.col("id"))
+            return now.unionByName(rest).select(F.col("id").alias(id_col), "root")
+        now = materialise(now.unionByName(new))
     raise RuntimeError("the hierarchy is deeper than max_depth")
 
 
