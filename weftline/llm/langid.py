@@ -26,8 +26,9 @@ UNKNOWN = "und"
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Bound of the training sample: rows a language; every language is learnt.
 ROWS_A_LANGUAGE = 300
-#: Slots for trigrams seen in training, and the least distance from the known languages, in deviations, that rejects.
-SEEN, FAR = 1 << 20, 6.0
+#: Slots for trigrams seen in training; a text whose share of seen ones is below LEAST_SEEN and at least FAR deviations
+#: below that of known texts is rejected (odd words and repetitions in a known language stay above the first).
+SEEN, FAR, LEAST_SEEN = 1 << 20, 6.0, 0.6
 EPOCHS, BATCH, RATE = 6, 64, 40.0
 #: Share of calibration texts of known languages that rejection may lose, and the confidence below which a text is
 #: rejected at most (a text of confidence above this is never rejected).
@@ -131,7 +132,7 @@ class Model:
         p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
         top = p[np.arange(len(p)), best]
-        return np.where(has, best, -1), np.where(has, top, 0.0), ~has | (top < self.threshold) | (self.away(three, known) > self.limit)
+        return np.where(has, best, -1), np.where(has, top, 0.0), ~has | (top < self.threshold) | ((self.away(three, known) > self.limit) & (known < LEAST_SEEN * three))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
