@@ -512,8 +512,8 @@ SELECT b AS component, count(*) AS n, max(a) AS last FROM reach GROUP BY b
 
 
 def basket_sets(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as sets of words (sizes of their parts) and names (types of their parts), and the names related by line."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("w"), "p_size").alias("w"), F.lower(F.regexp_replace("p_type", " ", "_")).alias("name"))
+    """Orders as sets of words (keys of their parts) and names (types of their parts), and the names related by line."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("w"), "p_partkey").alias("w"), F.lower(F.regexp_replace("p_type", " ", "_")).alias("name"))
     li = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     sets = li.select(F.col("l_orderkey").alias("i"), F.explode(F.array("w", "name")).alias("token")).distinct()
     names = p.select("name", F.regexp_replace("name", "_[^_]*$", "").alias("block")).distinct()
