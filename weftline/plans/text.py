@@ -11,7 +11,7 @@ from weftline.operators.aggregate import best_spelling, partial_row_norm, tf_idf
 from weftline.operators.ranking import adjacency_runs, first_occurrence, stratified_sample, top_k
 from weftline.operators.relational import compare_snapshots, first_source, overlay, route_by_items
 from weftline.operators.similarity import inverted_index_similarity, similar_pairs, weighted_tokens
-from weftline.plans.common import r6, table
+from weftline.plans.common import r6, spread, table
 from weftline.scratch import materialise
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -29,7 +29,8 @@ ws AS (SELECT i, sum(idf) AS weight FROM w GROUP BY i)
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """(i, token) of the distinct token sets; i is the smallest document of a set."""
-    bags = docs.where("text is not null").select("doc_id", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
+    # the filter says what the words' pattern needs, so the words are taken once, after it
+    bags = spread(docs.select("doc_id", "text")).where(F.lower("text").rlike("[a-z0-9]")).select("doc_id", F.array_distinct(tokens("text")).alias("t"))
     keyed = bags.withColumn("k", F.sha2(F.array_join(F.array_sort("t"), " "), 256)).groupBy("k").agg(F.min(F.struct("doc_id", "t")).alias("x"))
     return materialise(keyed.select(F.col("x.doc_id").alias("i"), F.explode("x.t").alias("token")))
 
@@ -91,8 +92,9 @@ SELECT p.i, p.j, round(round(o / (x.weight + y.weight - o), 9), 6) AS jaccard, r
 
 
 def term_pairs(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """(doc_id, token, tf), written once: all statistics of the terms read it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return materialise(docs.select("doc_id", F.explode(tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf")))
 
 
 TF = f"tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY doc_id, token), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), v AS (SELECT doc_id, token, ln(1 + tf) * (ln(CAST(n AS DOUBLE) / (df + 1)) + 1) AS v FROM tf JOIN df USING (token), n)"
