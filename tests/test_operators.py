@@ -209,3 +209,14 @@ def test_trees():
 
 def test_materialise_reads_back(spark):
     assert rows(materialise(spark.createDataFrame([(1, "a")], "x long, y string"))) == [(1, "a")]
+
+
+def test_continuations_fold_what_is_left_open(spark):
+    from weftline.operators.ranking import continuations
+
+    rows = [("a", 0, "said “x", True), ("a", 1, "y", False), ("a", 2, "z”", False), ("a", 3, "w", False), ("a", 5, "“", True), ("a", 7, "gap", False), ("b", 0, None, True), ("b", 1, "n", None)]
+    rows += [("c", i, "“" if i == 0 else "go on", i == 0) for i in range(15)]
+    df = spark.createDataFrame(rows, "g string, p int, t string, l boolean")
+    got = {(r.g, r.p): r.step for r in continuations(df, "g", "p", F.col("t"), F.col("l")).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 1, ("a", 2): 2, ("a", 5): 0, ("b", 0): 0} | {("c", i): i for i in range(11)}
+    assert continuations(df.limit(0), "g", "p", F.col("t"), F.col("l")).count() == 0

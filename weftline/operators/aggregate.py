@@ -129,20 +129,24 @@ def pair_purity(rows: DataFrame, group: str, label: str) -> DataFrame:
     return c.select(group, "n", F.when(n > 1, F.col("s") / (n * (n - 1))).alias("purity"))
 
 
-def persistence(old: DataFrame, new: DataFrame, row: str, col: str) -> DataFrame:
-    """Shares of the new slice's rows, columns, ties and tie mass that persist from the old one: a tie whose two
-    ends persist gives each half its mass, one with a single persisting end gives that end all."""
-    a_row, a_col = old.select(row).distinct().withColumn("__r", F.lit(1)), old.select(col).distinct().withColumn("__c", F.lit(1))
-    a_tie = old.select(row, col).distinct().withColumn("__t", F.lit(1))
-    t = new.select(row, col).distinct().join(a_row, row, "left").join(a_col, col, "left").join(a_tie, [row, col], "left")
+def persistence(old: DataFrame, new: DataFrame, row: str, col: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Shares of the new slice's rows, columns, ties and tie mass that persist from the old one, for each ``by`` (such as
+    the pair of facets): a tie whose two ends persist gives each half its mass, one with a single persisting end gives
+    that end all.  A tie's mass is the sum of ``weight`` over its rows, or 1."""
+    by = by or []
+    a_row, a_col = old.select(*by, row).distinct().withColumn("__r", F.lit(1)), old.select(*by, col).distinct().withColumn("__c", F.lit(1))
+    a_tie = old.select(*by, row, col).distinct().withColumn("__t", F.lit(1))
+    t = new.groupBy(*by, row, col).agg((F.sum(weight).cast("double") if weight else F.lit(1.0)).alias("__m"))
+    t = t.join(a_row, [*by, row], "left").join(a_col, [*by, col], "left").join(a_tie, [*by, row, col], "left")
     r, c = F.col("__r").isNotNull(), F.col("__c").isNotNull()
-    return t.agg(
+    mass = lambda share: F.sum(F.col("__m") * share) / F.sum("__m")
+    return t.groupBy(*by).agg(
         (F.countDistinct(F.when(r, F.col(row))) / F.countDistinct(row)).alias("rows"),
         (F.countDistinct(F.when(c, F.col(col))) / F.countDistinct(col)).alias("cols"),
         (F.count("__t") / F.count("*")).alias("ties"),
-        (F.sum(F.when(r & c, 0.5).when(r, 1.0).otherwise(0.0)) / F.count("*")).alias("row_mass"),
-        (F.sum(F.when(r & c, 0.5).when(c, 1.0).otherwise(0.0)) / F.count("*")).alias("col_mass"),
-        (F.count_if(r | c) / F.count("*")).alias("any_mass"),
+        mass(F.when(r & c, 0.5).when(r, 1.0).otherwise(0.0)).alias("row_mass"),
+        mass(F.when(r & c, 0.5).when(c, 1.0).otherwise(0.0)).alias("col_mass"),
+        mass(F.when(r | c, 1.0).otherwise(0.0)).alias("any_mass"),
     )
 
 

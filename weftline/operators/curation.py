@@ -23,11 +23,12 @@ def valid_records(rows: DataFrame, kinds: str, void: str) -> DataFrame:
     return rows.where(F.col(kinds).isNull() | ~F.array_contains(kinds, void)).withColumn("unknown", F.col(kinds).isNull())
 
 
-def nonprose(text: Column, words: Column, names: Column, references: str = r"(?i)^\s*(references|bibliography)\b", captions: str = r"(?i)^\s*(fig(ure)?|table)\s*\d", code: str = r"[{};]\s*$|^\s*(for|while|if)\s*\(") -> Column:
-    """Kind of text that is no sentence: reference, caption, code or heading (60 % or more capitalised words of 20
-    at most); null for prose.  ``words`` and ``names`` count all words and capitalised ones."""
+def nonprose(text: Column, words: Column, names: Column, references: str = r"(?i)^\s*(references|bibliography)\b", captions: str = r"(?i)^\s*(fig(ure)?|table)\s*\d", code: str = r"[{};]\s*$|^\s*(for|while|if)\s*\(", panels: str = r"^\s*\(?[A-Ha-h]\)[\s:]") -> Column:
+    """Kind of text that is no sentence: reference, caption, panel caption, code, heading (60 % or more capitalised words
+    of 20 at most) or notation (a symbol's definition); null for prose.  ``words`` and ``names`` count all words and
+    capitalised ones."""
     heading = (words > 0) & (words <= 20) & (names / words >= 0.6)
-    return F.when(text.rlike(references), "reference").when(text.rlike(captions), "caption").when(text.rlike(code), "code").when(heading, "heading")
+    return F.when(text.rlike(references), "reference").when(text.rlike(captions), "caption").when(text.rlike(panels), "panel").when(text.rlike(code), "code").when(heading, "heading").when(defines_symbol(text), "notation")
 
 
 def defines_symbol(text: Column) -> Column:

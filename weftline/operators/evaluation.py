@@ -71,6 +71,18 @@ def diagonal_rule(core: DataFrame) -> DataFrame:
     return core.where("k = l").join(big, "k").select("k", (F.col("z") / F.col("m")).alias("ratio"))
 
 
+def anchor_guard(parts: DataFrame) -> DataFrame:
+    """One row (within, n, over_half, share_over_half) of a table of parts k, l, z: the diagonal's share of all, and the
+    components (with half their row's and column's weight) whose own cell is over half of their row and of their column."""
+    own = parts.groupBy("k", "l").agg(F.sum("z").alias("z"))
+    sides = own.select("k", "z", F.lit(0.0).alias("c"), F.when(F.col("k") == F.col("l"), F.col("z")).otherwise(0.0).alias("d"))
+    sides = sides.unionByName(own.select(F.col("l").alias("k"), F.lit(0.0).alias("z"), F.col("z").alias("c"), F.lit(0.0).alias("d")))
+    each = sides.groupBy("k").agg(F.sum("z").alias("row"), F.sum("c").alias("col"), F.sum("d").alias("own"))
+    over = (F.col("own") > 0.5 * F.col("row")) & (F.col("own") > 0.5 * F.col("col"))
+    total = F.sum("row")
+    return each.agg((F.sum("own") / total).alias("within"), F.count("*").alias("n"), F.count_if(over).alias("over_half"), (F.sum(F.when(over, F.col("row") + F.col("col")).otherwise(0.0)) / (2 * total)).alias("share_over_half"))
+
+
 def paired_difference(results: DataFrame, arm: str, seed: str, value: str, one: str, two: str) -> DataFrame:
     """(n, mean, sd) of value under arm two less arm one over the seeds both have."""
     a, b = results.where(F.col(arm) == one).select(seed, F.col(value).alias("x")), results.where(F.col(arm) == two).select(seed, F.col(value).alias("y"))

@@ -119,6 +119,25 @@ def adjacency_runs(rows: DataFrame, group: str, position: str, opens: Column, mo
     return marked.withColumn("step", step).where(F.col("step") <= most).drop("__open")
 
 
+def continuations(rows: DataFrame, group: str, position: str, text: Column, labels: Column, opens: str = "\u201c", closes: str = "\u201d", most: int = 10) -> DataFrame:
+    """Rows that ``labels`` marks (step 0) and those that continue a quotation they leave open, in column ``step``.
+
+    A quotation is open behind a row if its opening marks (and the one it began in) outnumber its closing ones; it goes
+    on at the next position only, for ``most`` rows at most, and a labelled row starts anew.  What a row is depends on
+    the ``most`` rows before it, so a window of that many is folded and no group is gathered."""
+    marks = lambda m: F.char_length(text) - F.char_length(F.replace(text, F.lit(m), F.lit("")))
+    row = F.struct(F.col(position).cast("long").alias("p"), F.coalesce(labels, F.lit(False)).alias("l"), F.coalesce(marks(opens) - marks(closes), F.lit(0)).alias("b"))
+    near = rows.withColumn("__near", F.collect_list(row).over(W.partitionBy(group).orderBy(position).rowsBetween(-most, 0)))
+
+    def fold(state: Column, x: Column) -> Column:
+        goes_on = ~x["l"] & state["open"] & (x["p"] == state["p"] + 1) & (state["step"] < most)
+        step = F.when(x["l"], 0).when(goes_on, state["step"] + 1).otherwise(-1)
+        return F.struct(x["p"].alias("p"), step.alias("step"), F.coalesce((step >= 0) & (F.when(x["l"], 0).otherwise(1) + x["b"] > 0), F.lit(False)).alias("open"))
+
+    start = F.struct(F.lit(None).cast("long").alias("p"), F.lit(-1).alias("step"), F.lit(False).alias("open"))
+    return near.withColumn("step", F.aggregate("__near", start, fold, lambda state: state["step"])).where("step >= 0").drop("__near")
+
+
 def draw_tie_groups(ties: list[tuple[int, int]], groups: int = 10, seed: str = "0") -> list[int]:
     """A group for each tie, or -1: a tie is eligible if both ends have two ties or more; in one group an entity
     loses min(max(1, n // 3), n - 1) of its n ties at most.

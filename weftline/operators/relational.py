@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.scratch import materialise
+from weftline.scratch import materialise, small_enough
 
 
 def overlay(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
@@ -113,16 +113,18 @@ def two_hops(edges: DataFrame, largest_group: int = 200) -> DataFrame:
     return pairs.groupBy(F.col("x.end").alias("a"), F.col("y.end").alias("b")).agg(F.count("*").alias("paths"), F.sum(F.col("x.w") * F.col("y.w")).alias("w"))
 
 
-def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, value_col: str) -> DataFrame:
-    """(id, value): the value of the longest name a text contains, if that is unique.
+def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, value_col: str, place_col: str | None = None) -> DataFrame:
+    """(id, value): the value of the longest name a text contains, if that is unique; with ``place_col`` (of both tables,
+    such as a country) only names of the text's own place count.
 
     Names are matched from their first word (an equi-join on words of the text), so no pair is formed that does not
     share a word; ``contains`` decides.
     """
     word = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    n = names.select(F.lower(F.col(name_col)).alias("__name"), F.col(value_col).alias("__value"), F.element_at(word(F.col(name_col)), 1).alias("__w")).where("__w is not null").distinct()
-    t = texts.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__text"), F.explode(F.array_distinct(word(F.col(text_col)))).alias("__w"))
-    hits = t.join(n, "__w").where(F.col("__text").contains(F.col("__name"))).select("__id", "__name", "__value").distinct()
+    place = (F.col(place_col) if place_col else F.lit(0)).alias("__place")
+    n = names.select(F.lower(F.col(name_col)).alias("__name"), F.col(value_col).alias("__value"), F.element_at(word(F.col(name_col)), 1).alias("__w"), place).where("__w is not null").distinct()
+    t = texts.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__text"), F.explode(F.array_distinct(word(F.col(text_col)))).alias("__w"), place)
+    hits = t.join(n, ["__w", "__place"]).where(F.col("__text").contains(F.col("__name"))).select("__id", "__name", "__value").distinct()
     best = hits.withColumn("__r", F.rank().over(W.partitionBy("__id").orderBy(F.desc(F.length("__name"))))).where("__r = 1")
     one = best.groupBy("__id").agg(F.countDistinct("__value").alias("n"), F.min("__value").alias("v")).where("n = 1")
     return one.select(F.col("__id").alias(id_col), F.col("v").alias(value_col))
@@ -151,6 +153,23 @@ def roll_up(units: DataFrame, parents: DataFrame, id_col: str, max_depth: int =
     raise RuntimeError("the hierarchy is deeper than max_depth")
 
 
+def roll_up_by_category(units: DataFrame, parents: DataFrame, id_col: str, category: str, kind: str, absorbs: DataFrame) -> DataFrame:
+    """(id, root, how): units follow those parents that may absorb them to their roots, as ``roll_up`` says.
+
+    ``units`` has a category (what a unit is as a parent) and a kind (what it is as a child); ``absorbs`` lists
+    (category, kind) that merge, a null kind standing for every child.  ``how``: itself (no parent absorbs it), merged,
+    or joint (its parents' roots differ)."""
+    child = units.select(F.col(id_col).alias("id"), F.col(kind).alias("kind"))
+    above = units.select(F.col(id_col).alias("parent"), F.col(category).alias("category"))
+    rules = absorbs.select(F.col(absorbs.columns[0]).alias("category"), F.col(absorbs.columns[1]).alias("for_kind")).distinct()
+    known = parents.select(F.col(id_col).alias("id"), "parent").where("id <> parent").join(child, "id").join(above, "parent")
+    taken = materialise(known.join(F.broadcast(rules) if small_enough(rules) else rules, "category").where("for_kind is null or for_kind = kind").select("id", "parent").distinct())
+    roots = roll_up(units, taken.withColumnRenamed("id", id_col), id_col)
+    some = taken.select(F.col("id").alias(id_col)).distinct().withColumn("__some", F.lit(True))
+    how = F.when(F.col("root") != F.col(id_col), "merged").when(F.col("__some"), "joint").otherwise("itself")
+    return roots.join(some, id_col, "left").select(id_col, "root", how.alias("how"))
+
+
 def dense_ids(rows: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     """``rows`` numbered from 0 in the order of ``keys``, without a global window: a range sort gives each row its
     place in its partition, and the partitions' counts give the offsets.  Keys that tie are numbered in any order."""

@@ -60,8 +60,9 @@ def nonprose_kinds(spark, sf_dir: str) -> DataFrame:
 
 NONPROSE = r"""
 WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
-k AS (SELECT lang, CASE WHEN regexp_matches(line, '(?i)^\s*(references|bibliography)\b') THEN 'reference' WHEN regexp_matches(line, '^(Figure|Table) [0-9]') THEN 'caption' WHEN regexp_matches(line, '[{};]$') THEN 'code'
-  WHEN len(regexp_extract_all(line, '[A-Za-z]+')) BETWEEN 1 AND 20 AND len(regexp_extract_all(line, '\b[A-Z][a-z]+')) / len(regexp_extract_all(line, '[A-Za-z]+')) >= 0.6 THEN 'heading' END AS kind FROM l)
+k AS (SELECT lang, CASE WHEN regexp_matches(line, '(?i)^\s*(references|bibliography)\b') THEN 'reference' WHEN regexp_matches(line, '^(Figure|Table) [0-9]') THEN 'caption' WHEN regexp_matches(line, '^\s*\(?[A-Ha-h]\)[\s:]') THEN 'panel' WHEN regexp_matches(line, '[{};]$') THEN 'code'
+  WHEN len(regexp_extract_all(line, '[A-Za-z]+')) BETWEEN 1 AND 20 AND len(regexp_extract_all(line, '\b[A-Z][a-z]+')) / len(regexp_extract_all(line, '[A-Za-z]+')) >= 0.6 THEN 'heading'
+  WHEN regexp_matches(line, '(?i)\b(where|let|here)\s+\$?\\?[a-z]\w{0,2}\$?\s+(is|be|are|denotes?|represents?)\b') OR regexp_matches(line, '(?i)\b[a-z]\s+denotes?\b') THEN 'notation' END AS kind FROM l)
 SELECT lang, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY lang, kind
 """
 
