@@ -97,6 +97,25 @@ def test_block_join_brute_force(spark, monkeypatch, tau, weighted):
     assert {(r.i, r.j): round(r.sim, 6) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_evidence_links_odd_rows_match_sql(spark, tmp_path):
+    import duckdb
+
+    from weftline.plans.relations import EVIDENCE, evidence_links
+
+    rng = random.Random(8)
+    con = duckdb.connect()
+    people = [(i, f"Customer#{i % 4:02d}", rng.randint(0, 2)) for i in range(40)] + [(100 + i, f"Customer#{50 + i // 3}", rng.choice([1, 2, None])) for i in range(12)]
+    people += [people[3], (7, "Customer#03", 1), (8, "Customer#01", None), (90, None, 1), (None, "Customer#01", 1)]
+    orders = [(i, rng.choice([*range(40), *range(100, 112), None])) for i in range(300)]
+    lines = [(rng.choice([*range(300), None]), rng.choice([*range(25), None])) for _ in range(600)]
+    for name, ddl, data in (("customer", "c_custkey long, c_name string, c_nationkey int", people), ("orders", "o_orderkey long, o_custkey long", orders), ("lineitem", "l_orderkey long, l_partkey long", lines)):
+        spark.createDataFrame(data, ddl).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = evidence_links(spark, str(tmp_path))
+    plain = lambda found: sorted(tuple(-1 if v is None else int(v) for v in r) for r in found)
+    assert plain(got.select("a", "b", "common", "places").collect()) == plain(con.execute(f"SELECT a, b, common, places FROM ({EVIDENCE})").fetchall()) and got.count() > 50
+
+
 def test_document_bags_with_odd_ids(spark):
     from weftline.plans.text import document_bags, document_sets
 

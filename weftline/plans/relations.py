@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +13,10 @@ from weftline.operators.aggregate import banded, confusion, cooccurrence_table,
 from weftline.operators.graph import connected_components
 from weftline.operators.relational import dense_ids, enough_evidence, exactly_one, fallback_join, longest_contained, newman_weights, only_new, roll_up, scoped_lookup, stable_ids, two_hops
 from weftline.plans.common import r6, table
+from weftline.scratch import attach, materialise, small_enough
+
+#: Namesakes from which two customers need a shared nation besides shared parts.
+MANY = 5
 
 
 def supply(spark, sf_dir: str) -> DataFrame:
@@ -63,15 +69,25 @@ SELECT s.s_suppkey, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' EL
 
 def evidence_links(spark, sf_dir: str) -> DataFrame:
     """Pairs of customers of equal last two digits, with evidence: parts they both bought and a shared nation."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", -2, 2).alias("key"), "c_nationkey")
-    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    names = F.count("*").over(W.partitionBy("key"))
-    x, y = c.withColumn("names", names).alias("x"), c.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c_custkey") < F.col("y.c_custkey")))
-    pairs = pairs.select(F.col("x.c_custkey").alias("a"), F.col("y.c_custkey").alias("b"), "names", (F.col("x.c_nationkey") == F.col("y.c_nationkey")).cast("int").alias("places"))
-    shared = pairs.join(bought.select(F.col("o_custkey").alias("a"), "l_partkey"), "a").join(bought.select(F.col("o_custkey").alias("b"), "l_partkey"), ["b", "l_partkey"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = pairs.join(shared, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    return out.where(enough_evidence(F.col("names"), F.col("common"), F.col("places"))).select("a", "b", "common", "places")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", -2, 2).alias("key"), "c_nationkey").where("key is not null")
+    names = c.groupBy("key").agg(F.count("*").alias("names"))
+    # one row each, with how often it stands there; keys that repeat are told apart by rows
+    c = c.groupBy("c_custkey", "key", "c_nationkey").agg(F.count("*").alias("m")).join(F.broadcast(names) if small_enough(names) else names, "key")
+    repeated = c.groupBy("c_custkey").agg(F.count("*").alias("r")).where("r > 1").select("c_custkey", F.lit(True).alias("repeats"))
+    # every pair asks for a shared part, and with many namesakes for a shared nation too
+    c = attach(c, materialise(repeated), "c_custkey").withColumn("loose", F.coalesce("repeats", F.lit(False)) | (F.col("names") < MANY)).drop("repeats")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where("o_custkey is not null")
+    bought = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    bought = materialise(bought.where("l_partkey is not null").join(c, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey"))
+    x, y = bought.alias("x"), bought.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.l_partkey") == F.col("y.l_partkey")) & (F.col("x.c_custkey") < F.col("y.c_custkey"))
+    near = x.where("not loose").join(y.where("not loose"), met & (F.col("x.c_nationkey") == F.col("y.c_nationkey")))
+    columns = [F.col("x.c_custkey").alias("a"), F.col("y.c_custkey").alias("b"), F.col("x.key").alias("key"), F.col("x.names").alias("names"), F.col("x.c_nationkey").alias("u"), F.col("y.c_nationkey").alias("v"), (F.col("x.m") * F.col("y.m")).alias("m")]
+    some = [near.select(*columns), x.where("loose").join(y, met).select(*columns), x.where("not loose").join(y.where("loose"), met).select(*columns)]
+    pairs = reduce(DataFrame.unionByName, some).groupBy("a", "b", "key", "names", "u", "v", "m").agg(F.count("*").alias("n"))
+    out = pairs.withColumn("common", F.sum(F.col("n") * F.col("m")).over(W.partitionBy("a", "b"))).withColumn("places", (F.col("u") == F.col("v")).cast("int"))
+    out = out.where(enough_evidence(F.col("names"), F.col("common"), F.col("places"), MANY))
+    return out.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("m")))).select("a", "b", "common", "places")
 
 
 EVIDENCE = """
