@@ -116,6 +116,14 @@ def test_evidence_links_odd_rows_match_sql(spark, tmp_path):
     assert plain(got.select("a", "b", "common", "places").collect()) == plain(con.execute(f"SELECT a, b, common, places FROM ({EVIDENCE})").fetchall()) and got.count() > 50
 
 
+def test_works_within_author_and_year(spark):
+    from weftline.operators.curation import cluster_works
+
+    works = [(1, None, "x", 2000, "a b c d e"), (2, None, "x", 2001, "A b c, d f"), (3, None, "x", 2002, "a b c d f"), (4, None, "y", 2001, "a b c d e"), (5, "k", None, 2001, "a b c d e"), (6, "k", "z", 1990, "q"), (7, None, "x", None, "a b c d e"), (8, None, "x", 2000, "a b c g h")]
+    got = {r.id: r.work for r in cluster_works(spark.createDataFrame(works, "id long, doi string, author string, year int, title string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
 def test_document_bags_with_odd_ids(spark):
     from weftline.plans.text import document_bags, document_sets
 
