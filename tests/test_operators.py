@@ -116,6 +116,16 @@ def test_evidence_links_odd_rows_match_sql(spark, tmp_path):
     assert plain(got.select("a", "b", "common", "places").collect()) == plain(con.execute(f"SELECT a, b, common, places FROM ({EVIDENCE})").fetchall()) and got.count() > 50
 
 
+def test_labels_sent_equal_labels_joined(spark, monkeypatch):
+    from weftline.operators import curation
+
+    rng = random.Random(4)
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", float(rng.randint(1, 9))) for a, b in itertools.combinations(range(60), 2) if rng.random() < (0.6 if a // 12 == b // 12 else 0.03)] + [("n1", None, 2.0)], "a string, b string, w double")
+    sent = rows(curation.label_propagation(e).select("node", "community"))
+    monkeypatch.setattr(curation, "small_enough", lambda df: False)
+    assert rows(curation.label_propagation(e).select("node", "community")) == sent and len({c for _, c in sent}) > 1
+
+
 def test_works_within_author_and_year(spark):
     from weftline.operators.curation import cluster_works
 
